@@ -1 +1,10 @@
+"""Queries on the test tables."""
 
+from __future__ import annotations
+
+
+def registry():
+    """All core queries and their SQL."""
+    from quellwerk.plans import catalog, history  # noqa: F401
+
+    return dict(catalog.QUERIES), dict(catalog.SQL)
