@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quellwerk.llm.encode import token_ids
+from quellwerk.llm.neardup import same_article_pairs
 from quellwerk.llm.pages import furniture
 from quellwerk.llm.residue import residue
 from quellwerk.llm.sentences import sentences
+from quellwerk.llm.store import repeated_rows
 from quellwerk.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that repeat an article accepted before."""
+    return repeated_rows(table(spark, sf_dir, "uebersetzungen"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs that are page furniture."""
     return furniture(table(spark, sf_dir, "uebersetzungen"))
@@ -23,6 +30,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue(table(spark, sf_dir, "uebersetzungen"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows with the same article."""
+    pages = table(spark, sf_dir, "uebersetzungen")
+    return same_article_pairs(pages, residue(pages))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return token_ids(table(spark, sf_dir, "documents"))
@@ -34,7 +47,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p4_found, p7_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p7_ids, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
