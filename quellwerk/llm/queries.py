@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quellwerk.llm.encode import token_ids
+from quellwerk.llm.language import language_cases
 from quellwerk.llm.neardup import same_article_pairs
 from quellwerk.llm.pages import furniture
 from quellwerk.llm.residue import residue
@@ -36,6 +37,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_article_pairs(pages, residue(pages))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a missing or wrong label, and paragraphs in another language than their row's."""
+    return p6_languages(spark, sf_dir).drop("konfidenz")
+
+
+def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the confidence of each."""
+    pages = table(spark, sf_dir, "uebersetzungen")
+    return language_cases(pages, table(spark, sf_dir, "sprachproben"), residue(pages))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return token_ids(table(spark, sf_dir, "documents"))
@@ -47,7 +59,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p7_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p6_found, p6_languages, p7_ids, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
