@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quellwerk.llm.encode import token_ids
 from quellwerk.llm.language import language_cases
+from quellwerk.llm.mixing import mix
 from quellwerk.llm.neardup import same_article_pairs
 from quellwerk.llm.pages import furniture
 from quellwerk.llm.residue import residue
@@ -53,13 +54,23 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in the mix."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mischziele"))[0]
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mischziele"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of every document."""
     return sentences(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p6_found, p6_languages, p7_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p6_found, p6_languages, p7_ids, p8_mix, p8_report, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
