@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registry():
     """All core queries and their SQL."""
-    from quellwerk.plans import catalog, history  # noqa: F401
+    from quellwerk.plans import analytics, catalog, history, ingest, joins, scalar, stateful  # noqa: F401
 
     return dict(catalog.QUERIES), dict(catalog.SQL)
