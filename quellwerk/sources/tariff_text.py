@@ -13,7 +13,7 @@ NUMBER_WORDS = {"einen": 1, "ein": 1, "eine": 1, "zwei": 2, "drei": 3, "sechs":
 
 def _line(text: Column, pattern: str) -> Column:
     """The first line that matches, at most 300 characters."""
-    return F.substring(F.element_at(F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(pattern)), 1), 1, 300)
+    return F.substring(F.try_element_at(F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(pattern)), F.lit(1)), 1, 300)
 
 
 def extract(sheets: DataFrame, text: str) -> DataFrame:
