@@ -69,32 +69,51 @@ def residue(pages: DataFrame, key: str = "zeilen_nr", blocks: str = "absaetze")
     source = pages.where(f"`{key}` is not null").selectExpr(f"cast(`{key}` as bigint) as k", f"`{blocks}` as b")
     judged = materialise(source.mapInPandas(judge, "k bigint, sure int, skeleton string, variable string, quoted int"), "residue")
     open_ = judged.where("sure = 0")
-    templates = open_.groupBy("skeleton").agg(F.countDistinct("k").alias("with_variable"), F.countDistinct("variable").alias("names"))
-
-    if open_.isEmpty():
-        filled = templates.select(F.col("skeleton").alias("s"), F.lit(0).cast("bigint").alias("filled"))
-    else:
-        filled = _filled(source).withColumnRenamed("skeleton", "s")
-    known = open_.join(templates, "skeleton").join(filled, F.col("skeleton") == F.col("s"), "left")
+    templates = open_.groupBy("skeleton").agg(F.countDistinct("k").alias("with_variable"), F.countDistinct("variable").alias("names"), F.max("quoted").alias("some_quoted"))
+    # siblings decide only where the template itself may hold the variable
+    doubtful = materialise(templates.where("some_quoted = 1 or with_variable >= 3 and names = 1"), "templates")
+    filled = _filled(source, doubtful).withColumnRenamed("skeleton", "s")
+    known = open_.join(doubtful, "skeleton", "left").join(filled, F.col("skeleton") == F.col("s"), "left")
     siblings = F.coalesce("filled", F.lit(0))
     # a constant of the template: quoted, or the same variable in every one of at least three records
     constant = (F.col("quoted") == 1) & (siblings <= F.col("with_variable")) | (siblings == 0) & (F.col("with_variable") >= 3) & (F.col("names") == 1)
-    flagged = known.where(~constant).select("k")
+    flagged = known.where(~F.coalesce(constant, F.lit(False))).select("k")
     return judged.where("sure = 1").select("k").union(flagged).distinct().select(F.col("k").alias(key))
 
 
-def _filled(source: DataFrame) -> DataFrame:
-    """How often each sentence skeleton occurs with its slots filled; counts over all pages."""
+#: Templates whose anchor words are sent to the tasks; with more of them every sentence is aligned.
+MOST_ANCHORS = 5000
+_LOWER = re.compile(r"[^\W\d_]{4,}")
+
+
+def anchor(form: str) -> str | None:
+    """The longest word of a skeleton, by which sentences of its template are found."""
+    words = _LOWER.findall(form)
+    return max(words, key=lambda w: (len(w), w)) if words else None
+
+
+def _filled(source: DataFrame, templates: DataFrame) -> DataFrame:
+    """skeleton, filled: how often the sentences of the templates occur with their slots filled, over all pages."""
+    forms = [r[0] for r in templates.select("skeleton").limit(MOST_ANCHORS + 1).collect()]
+    anchors = {anchor(x) for x in forms}
+    every = len(forms) > MOST_ANCHORS or None in anchors
+    wanted = frozenset(forms) if len(forms) <= MOST_ANCHORS else None
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen: Counter = Counter()
             for page in batch["b"].tolist():
                 for p in page if page is not None else ():
-                    if p and not any(c in p for c in "{$<%@"):
-                        for s in _SENTENCE.split(p):
-                            if s and len(s) > 15:
-                                seen[skeleton(s)] += 1
-            yield pd.DataFrame({"skeleton": list(seen), "n": pd.Series(list(seen.values()), dtype="int64")})
-
+                    if not p or any(c in p for c in "{$<%@") or not every and anchors.isdisjoint(_LOWER.findall(p)):
+                        continue
+                    for s in _SENTENCE.split(p):
+                        if s and (every or not anchors.isdisjoint(_LOWER.findall(s))):
+                            form = skeleton(s)
+                            if wanted is None or form in wanted:
+                                seen[form] += 1
+            if seen:
+                yield pd.DataFrame({"skeleton": list(seen), "n": pd.Series(list(seen.values()), dtype="int64")})
+
+    if not forms:
+        source = source.limit(0)  # no template is in doubt
     return source.mapInPandas(count, "skeleton string, n bigint").groupBy("skeleton").agg(F.sum("n").alias("filled"))
