@@ -26,7 +26,7 @@ _TERMINAL = re.compile(
 )
 _MARKS = re.compile("[“„”«»「」『』()（）\\[\\]\"]")
 _WORD_BACK = re.compile(r"[^\s(\[«“„\"'’]*$")
-_NEXT = re.compile(r"\s*(?:(?:[^\w\s\"“„«»”「『(¿¡‘]|<\|\w+\|>)+\s+)*")
+_NEXT = re.compile(r"\s*(?:(?:C\+\+|[^\w\s\"“„«»”「『(¿¡‘]|<\|\w+\|>)+\s+)*")
 _DIGITS = re.compile(r"\d{1,2}$")
 _INITIAL = re.compile(r"[^\W\d_]$")
 
@@ -104,6 +104,9 @@ def _score(text: str, m: re.Match, start: int, stop: int) -> float | None:
     if "\u200b" in word or "\xad" in word:
         word = word.replace("\u200b", "").replace("\xad", "")
     low = word.lower()
+    tail = low.rpartition(".")
+    if len(tail[0]) >= 4 and "." not in tail[0] and tail[2] in NEVER:
+        low = tail[2]  # the sentence before ended without white space
     if not spaced:
         if head in ",;:)" or not head.isalpha() and head not in "“„«¿¡\"":
             return -6.0
