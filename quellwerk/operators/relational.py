@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quellwerk.session import materialise
+
 
 def unseen(batch: DataFrame, seen: DataFrame, key: str, order: list) -> DataFrame:
     """First row of every key that the store does not hold: keep-first inside the batch, then a left anti join."""
@@ -104,14 +106,16 @@ def best_match(offers: DataFrame, candidates: DataFrame, key: str, score: str) -
     In every round the pairs that are best for both sides are taken; each round is
     two windows over what is left, and the number of rounds is at most the size of the smaller side.
     """
-    left = offers.join(candidates, key).select(key, "angebot", "bild", score)
+    left = materialise(offers.join(candidates, key).select(key, "angebot", "bild", score), "pairs")
     taken = None
     for _ in range(50):
         o = Window.partitionBy(key, "angebot").orderBy(F.col(score).desc(), "bild")
         b = Window.partitionBy(key, "bild").orderBy(F.col(score).desc(), "angebot")
-        mutual = left.withColumn("ro", F.row_number().over(o)).withColumn("rb", F.row_number().over(b)).where("ro = 1 and rb = 1").select(key, "angebot", "bild", score).checkpoint()
+        mutual = left.withColumn("ro", F.row_number().over(o)).withColumn("rb", F.row_number().over(b)).where("ro = 1 and rb = 1").select(key, "angebot", "bild", score)
+        mutual = materialise(mutual, "matched")
         if mutual.isEmpty():
             break
         taken = mutual if taken is None else taken.union(mutual)
         left = left.join(mutual.select(key, "angebot"), [key, "angebot"], "left_anti").join(mutual.select(key, "bild"), [key, "bild"], "left_anti")
+        left = materialise(left, "pairs")
     return taken if taken is not None else left.limit(0)
