@@ -36,6 +36,6 @@ def storage_gb(text: Column) -> Column:
 def sections(markdown: Column) -> Column:
     """map<heading, body> of a text's second-level headings; a repeated heading keeps its last body."""
     parts = F.filter(F.split(F.concat(F.lit("\n"), markdown), r"\n## "), lambda x: F.contains(x, F.lit("\n")))
-    pairs = F.transform(F.slice(parts, 1, 10_000), lambda x: F.struct(F.trim(F.substring_index(x, "\n", 1)).alias("k"), F.regexp_replace(F.regexp_replace(x, r"^[^\n]*\n", ""), r"^\s+|\s+$", "").alias("v")))
+    pairs = F.transform(parts, lambda x: F.struct(F.trim(F.substring_index(x, "\n", 1)).alias("k"), F.regexp_replace(F.regexp_replace(x, r"^[^\n]*\n", ""), r"^\s+|\s+$", "").alias("v")))
     named = F.filter(pairs, lambda p: p["k"] != "")
     return F.map_from_arrays(F.array_distinct(F.transform(named, lambda p: p["k"])), F.transform(F.array_distinct(F.transform(named, lambda p: p["k"])), lambda k: F.element_at(F.filter(named, lambda p: p["k"] == k), -1)["v"]))
