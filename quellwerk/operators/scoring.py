@@ -24,11 +24,11 @@ def bm25(docs: DataFrame, key: str, words: Column, queries: DataFrame, least: fl
     p = postings(docs, key, words)
     wanted = queries.select("anfrage", "wort").distinct()
     hit = p.join(wanted, "wort")
-    stats = docs.select(F.size(words).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    n, avgdl = docs.select(F.size(words).alias("dl")).agg(F.count("*"), F.avg("dl")).first()  # one row
     df = p.join(wanted.select("wort").distinct(), "wort", "left_semi").groupBy("wort").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hit.join(df, "wort").join(F.broadcast(stats)).groupBy("anfrage", key).agg(F.round(F.sum(part), 6).alias("punkte"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
+    scored = hit.join(df, "wort").groupBy("anfrage", key).agg(F.round(F.sum(part), 6).alias("punkte"))
     return top_per_group(scored.where(F.col("punkte") >= least), ["anfrage"], [F.col("punkte").desc(), key], k)
 
 

@@ -10,7 +10,7 @@ from quellwerk.operators import relational as R
 from quellwerk.operators import scoring as S
 from quellwerk.operators import similarity as M
 from quellwerk.plans.catalog import query
-from quellwerk.session import table
+from quellwerk.session import scalar, table
 
 _TOK = "list_filter(string_split_regex(lower(replace(title, 'İ', 'i')), '[^a-z0-9äöüß]+'), lambda w: length(w) >= 4)"
 
@@ -75,7 +75,8 @@ def d6_share_trend(spark, sf):
 @query("SELECT anbieter, art, count(*) AS n, count(DISTINCT tarif_id) AS tarife, round(100.0 * count(*) / max(count(*)) OVER (), 4) AS balken FROM tarife GROUP BY anbieter, art")
 def d8_counts_with_bars(spark, sf):
     g = table(spark, sf, "tarife").groupBy("anbieter", "art").agg(F.count("*").alias("n"), F.count_distinct("tarif_id").alias("tarife"))
-    return g.join(F.broadcast(g.agg(F.max("n").alias("m")))).select("anbieter", "art", "n", "tarife", F.round(100.0 * F.col("n") / F.col("m"), 4).alias("balken"))
+    most = F.lit(scalar(g.agg(F.max("n"))))
+    return g.select("anbieter", "art", "n", "tarife", F.round(100.0 * F.col("n") / most, 4).alias("balken"))
 
 
 @query(

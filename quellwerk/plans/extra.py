@@ -9,7 +9,7 @@ from quellwerk.functions import extract as X
 from quellwerk.operators import relational as R
 from quellwerk.operators import similarity as M
 from quellwerk.plans.catalog import query
-from quellwerk.session import table
+from quellwerk.session import scalar, table
 
 
 @query("SELECT event_id, CASE WHEN e % 4 = 0 THEN 'nicht' WHEN e % 4 = 1 OR (e % 4 = 2 AND d <= 3) OR (e % 4 = 3 AND d * 7 <= 3) THEN 'sofort' ELSE 'wartezeit' END AS lage, CASE WHEN e % 4 = 2 THEN d WHEN e % 4 = 3 THEN d * 7 END AS bis FROM (SELECT event_id, event_id AS e, CAST(event_id % 20 + 1 AS INTEGER) AS d FROM events)")
@@ -107,9 +107,8 @@ def d27_tariff_mart(spark, sf):
 def e10_anchored_window(spark, sf):
     """The last fortnight before the newest row."""
     i = table(spark, sf, "items").withColumn("d", F.to_date("published"))
-    newest = i.agg(F.max("d").alias("m"))  # one row
-    age = F.date_diff("m", "d")
-    return i.join(F.broadcast(newest)).where(age.between(0, 14)).select("id", "url", age.cast("bigint").alias("alter_tage"))
+    age = F.date_diff(F.lit(scalar(i.agg(F.max("d")))), F.col("d"))
+    return i.where(age.between(0, 14)).select("id", "url", age.cast("bigint").alias("alter_tage"))
 
 
 @query("SELECT region, id, url, r AS rang FROM (SELECT region, id, url, row_number() OVER (PARTITION BY region ORDER BY published DESC NULLS LAST, id, url, eingang_am) AS r FROM items WHERE region IS NOT NULL) WHERE r <= 5 ORDER BY r, region LIMIT 20")

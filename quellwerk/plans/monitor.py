@@ -10,7 +10,7 @@ from quellwerk.operators import models
 from quellwerk.operators import relational as R
 from quellwerk.operators import state as S
 from quellwerk.plans.catalog import query
-from quellwerk.session import table
+from quellwerk.session import scalar, table
 from quellwerk.sources import documents as D
 
 
@@ -130,10 +130,10 @@ def g8_gaps_per_competitor(spark, sf):
     """How many of all brands a supplier does not have, without pairing suppliers and brands."""
     l, p = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey"), table(spark, sf, "part").select("p_partkey", "p_brand")
     have = l.join(p, l.l_partkey == p.p_partkey).select(F.col("l_suppkey").alias("s"), "p_brand").distinct()
-    total = have.agg(F.count_distinct("p_brand").alias("alle"))  # one row
+    total = F.lit(scalar(have.agg(F.count_distinct("p_brand"))))
     n = have.groupBy("s").agg(F.count("*").alias("n"))
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("s"))
-    return s.join(n, "s", "left").join(F.broadcast(total)).select("s", (F.col("alle") - F.coalesce("n", F.lit(0))).alias("luecken"))
+    return s.join(n, "s", "left").select("s", (total - F.coalesce("n", F.lit(0))).alias("luecken"))
 
 
 @query(r"SELECT satz_nr, regexp_extract_all(lower(regexp_replace(regexp_replace(replace(name, '+', ' plus '), '([a-zäöü])([A-ZÄÖÜ])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g')), '[a-z0-9äöüß]+') AS marken FROM tarife WHERE name IS NOT NULL")

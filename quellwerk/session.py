@@ -32,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scalar(df: DataFrame):
+    """The value of a one-row, one-column aggregate, so that no row has to be paired with it."""
+    return df.first()[0]
+
+
 def work_folder(spark: SparkSession) -> str:
     """The shared folder of the cluster; only a local session without one gets its own."""
     folder = spark.conf.get(CHECKPOINT, None)
