@@ -44,7 +44,6 @@ def work_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{CHECKPOINT} must name a folder all executors share")
         folder = os.path.join(tempfile.gettempdir(), "quellwerk-checkpoints")
-        spark.conf.set(CHECKPOINT, folder)
     return folder.rstrip("/")
 
 
