@@ -31,28 +31,49 @@ def overlap_pairs(rows: DataFrame, key: str, tokens: Column, when: str, hours: i
     return out.select("a", "b", F.round("d", 4).alias("deckung"))
 
 
-def stars(rows: DataFrame, pairs: DataFrame, key: str, when: str, most: int, rounds: int = 30) -> DataFrame:
+#: Edges that are decided on the driver when rounds have left no more.
+FEW = 100_000
+
+
+def stars(rows: DataFrame, pairs: DataFrame, key: str, when: str, most: int) -> DataFrame:
     """key, kopf of greedy star clusters: freshest first, each row is a head or joins its best head, at most ``most`` to a head.
 
-    Rounds decide all rows whose fresher neighbours are decided, so the result is
-    the sequential one; each round is a join on the undecided rows only.
+    A row is a head if none of its fresher neighbours is, which gives the sequential
+    result. In a round every row without undecided fresher neighbours becomes a head and
+    the neighbours of the new heads are members; rounds go on until at most FEW edges are
+    left, which are decided in the same way on the driver.
     """
     rank = F.struct(F.coalesce(F.unix_micros(F.col(when).cast("timestamp")), F.lit(-(2**62))).alias("p"), F.col(key).alias("k"))
     ranked = rows.select(F.col(key).alias("k"), rank.alias("r"))
-    both = pairs.select("a", "b", "deckung").union(pairs.select("b", "a", "deckung")).toDF("k", "o", "d")
-    edges = both.join(ranked, "k").join(ranked.select(F.col("k").alias("o"), F.col("r").alias("ro")), "o").where("ro > r").select("k", "o", "d", "ro")
+    a, b = (ranked.select(F.col("k").alias(n), F.col("r").alias(f"r{n}")) for n in "ab")
+    fresher = F.col("ra") > F.col("rb")
+    edges = pairs.join(a, "a").join(b, "b").select(F.when(fresher, F.col("b")).otherwise(F.col("a")).alias("k"), F.when(fresher, F.col("a")).otherwise(F.col("b")).alias("o"), F.col("deckung").alias("d"))
     edges = materialise(edges, "edges")
-    done = materialise(ranked.join(edges.select("k").distinct(), "k", "left_anti").select("k", F.col("k").alias("kopf")), "stars")
-    left = materialise(ranked.join(done, "k", "left_anti").select("k"), "left")
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
-        open_edges = edges.join(left, "k")
-        state = open_edges.join(done.withColumnRenamed("k", "o"), "o", "left")
-        ready = state.groupBy("k").agg(F.max(F.col("kopf").isNull().cast("int")).alias("waits"), F.max(F.when(F.col("kopf") == F.col("o"), F.struct("d", "ro", "o"))).alias("m")).where("waits = 0")
-        placed = ready.select("k", F.coalesce("m.o", "k").alias("kopf"))
-        done = materialise(done.union(placed), "stars")
-        left = materialise(left.join(done.select("k"), "k", "left_anti"), "left")
+    left = edges.select("k", "o")  # undecided rows and their fresher neighbours that are no members
+    new = materialise(ranked.select("k").join(left.select("k"), "k", "left_anti"), "heads")
+    heads = new
+    while left.count() > FEW:
+        members = materialise(left.join(new.withColumnRenamed("k", "o"), "o", "left_semi").select("k").distinct(), "members")
+        after = left.join(members, "k", "left_anti").join(members.withColumnRenamed("k", "o"), "o", "left_anti").select("k", "o")
+        after = materialise(after, "left")
+        new = left.select("k").distinct().join(members, "k", "left_anti").join(after.select("k"), "k", "left_anti")
+        new = materialise(new, "heads")
+        heads = materialise(heads.union(new), "heads")
+        left = after
+    # few edges left: the same rule row by row, freshest first
+    rest = left.join(new.select(F.col("k").alias("o"), F.lit(True).alias("head")), "o", "left").join(ranked, "k").select("k", "o", "head", "r").collect()
+    if rest:
+        leads, fresher_of = {x.o for x in rest if x.head}, {}
+        for x in rest:
+            fresher_of.setdefault((x.r, x.k), []).append(x.o)
+        own = []
+        for (_, k), os in sorted(fresher_of.items(), reverse=True):
+            if leads.isdisjoint(os):
+                leads.add(k)
+                own.append((k,))
+        heads = materialise(heads.union(rows.sparkSession.createDataFrame(own, heads.schema)), "heads")
+    best = edges.join(heads.join(ranked, "k").select(F.col("k").alias("o"), F.col("r").alias("ro")), "o").groupBy("k").agg(F.max(F.struct("d", "ro", "o")).alias("m"))
+    done = materialise(heads.select("k", F.col("k").alias("kopf")).union(best.select("k", F.col("m.o").alias("kopf"))), "stars")
     # members beyond the cap are heads of their own, the freshest stay
     w = Window.partitionBy("kopf").orderBy((F.col("k") != F.col("kopf")).cast("int"), F.col("r").desc())
     sized = done.join(ranked, "k").withColumn("n", F.row_number().over(w))

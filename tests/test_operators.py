@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quellwerk.operators import relational as R
@@ -52,6 +53,19 @@ def test_stars_equal_the_sequential_rule(spark):
     assert {r.k: r.kopf for r in M.stars(rows, pairs, "k", "p", 1000).collect()} == head
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_stars_decide_long_chains(spark, monkeypatch, few):
+    """In rounds and on the driver: a clique of 60 rows, whose chain of fresher neighbours is as long, and a path of 20."""
+    monkeypatch.setattr(M, "FEW", few, raising=False)
+    edges = [(a, b, 1.0) for a in range(60) for b in range(a + 1, 60)] + [(a, a + 1, 1.0) for a in range(100, 119)]
+    ks = [*range(60), *range(100, 120)]
+    rows = spark.createDataFrame([(k,) for k in ks], "k bigint").select("k", F.timestamp_seconds(F.col("k")).alias("p"))
+    pairs = spark.createDataFrame(edges, "a bigint, b bigint, deckung double")
+    got = {r.k: r.kopf for r in M.stars(rows, pairs, "k", "p", 1000).collect()}
+    want = {k: 59 for k in range(60)} | {k: k if k % 2 else k + 1 for k in range(100, 120)}
+    assert got == want
+
+
 def test_regression_and_phases(spark):
     rows = spark.createDataFrame([("a", 1.0, 3.0), ("a", 2.0, 5.0), ("a", 3.0, 7.0), ("a", float("inf"), 1.0), ("b", 1.0, 1.0), ("c", 1.0, 1.0), ("c", 1.0, 2.0), ("c", 1.0, 3.0)], "g string, x double, y double")
     got = {r.g: (r.steigung, r.achse) for r in S.regression(rows, ["g"], "x", "y").collect()}
