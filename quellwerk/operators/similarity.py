@@ -31,6 +31,43 @@ def overlap_pairs(rows: DataFrame, key: str, tokens: Column, when: str, hours: i
     return out.select("a", "b", F.round("d", 4).alias("deckung"))
 
 
+#: Parts into which the lists of rows without a time are divided, as they meet rows of all times.
+PARTS = 16
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The rows with a number that ascends in the given order: short keys for pairs."""
+    return materialise(rows.orderBy(*order).withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def all_overlap_pairs(rows: DataFrame, key: str, tokens: Column, when: str, hours: int, least: float) -> DataFrame:
+    """a < b and deckung of all pairs near in time that overlap enough, however frequent the shared tokens are.
+
+    The smaller set of such a pair shares so many tokens that one is among its rarest
+    (prefix filter): those meet all tokens of the larger set, in time buckets as wide as
+    the window, so a list grows with the rows of a window and none is cut. A pair counts
+    where it meets in its rarest shared token.
+    """
+    t = rows.select(F.col(key).alias("k"), F.unix_micros(F.col(when).cast("timestamp")).alias("p"), tokens.alias("ws"))
+    e = t.select("k", "p", F.explode(F.array_distinct("ws")).alias("wort"))
+    words = numbered(e.groupBy("wort").agg(F.count("*").alias("df")), ["df", "wort"], "w").select("wort", "w")
+    sets = materialise(e.join(words, "wort").groupBy("k", "p").agg(F.array_sort(F.collect_list("w")).alias("ws")), "sets")
+    b0, part, m = F.floor(F.col("p") / (hours * 3_600_000_000)), F.pmod(F.hash("k"), F.lit(PARTS)).cast("bigint"), F.size("ws")
+    # where a row looks and where it is found: kind 0 by time, 1 timed rows for untimed ones, 2 untimed rows for all
+    place = lambda kind, at: F.struct(F.lit(kind), at).cast("struct<kind:int,at:bigint>")
+    every = lambda kind: F.array(*[place(kind, F.lit(i)) for i in range(PARTS)])
+    looks = F.when(F.col("p").isNull(), every(2)).otherwise(F.array(*[place(0, b0 + d) for d in (-1, 0, 1)], place(1, part)))
+    found = F.when(F.col("p").isNull(), F.concat(every(1), F.array(place(2, part)))).otherwise(F.array(place(0, b0), place(2, part)))
+    rarest = F.slice("ws", 1, m - F.greatest(F.ceil(m * least - 1e-9).cast("int"), F.lit(1)) + 1)
+    a = sets.select(F.col("k").alias("ka"), F.col("p").alias("pa"), F.col("ws").alias("wa"), F.explode(rarest).alias("w"), looks.alias("x")).select("ka", "pa", "wa", "w", F.inline("x"))
+    b = sets.select(F.col("k").alias("kb"), F.col("p").alias("pb"), F.col("ws").alias("wb"), F.explode("ws").alias("w"), found.alias("x")).select("kb", "pb", "wb", "w", F.inline("x"))
+    na, nb, both = F.size("wa"), F.size("wb"), F.array_intersect("wa", "wb")
+    smaller = (na < nb) | ((na == nb) & (F.col("ka") < F.col("kb")))
+    near = F.col("pa").isNull() | F.col("pb").isNull() | (F.abs(F.col("pa") - F.col("pb")) <= hours * 3_600_000_000)
+    met = a.join(b, ["w", "kind", "at"]).where(smaller & near).where((F.get(both, F.lit(0)) == F.col("w")) & (F.size(both) / na >= least))
+    return met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.round(F.size(both) / na, 4).alias("deckung"))
+
+
 #: Edges that are decided on the driver when rounds have left no more.
 FEW = 100_000
 

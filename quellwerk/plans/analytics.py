@@ -10,7 +10,7 @@ from quellwerk.operators import relational as R
 from quellwerk.operators import scoring as S
 from quellwerk.operators import similarity as M
 from quellwerk.plans.catalog import query
-from quellwerk.session import scalar, table
+from quellwerk.session import materialise, scalar, table
 
 _TOK = "list_filter(string_split_regex(lower(replace(title, 'İ', 'i')), '[^a-z0-9äöüß]+'), lambda w: length(w) >= 4)"
 
@@ -220,10 +220,13 @@ def c9_overlap_pairs(spark, sf):
 
 @query()
 def c6_star_clusters(spark, sf):
-    """Clusters around their freshest member; iterative, so rows only."""
+    """Clusters around their freshest member, over all pairs that overlap enough; iterative, so rows only."""
     i = table(spark, sf, "items").where("title is not null").groupBy("id").agg(F.min("title").alias("title"), F.min("published").alias("p"))
-    pairs = M.overlap_pairs(i, "id", T.tokens(F.col("title"), 4), "p", 72, 0.5, 2, 50)
-    return M.stars(i.select("id", "p"), pairs, "id", "p", 8)
+    n = M.numbered(i.select("id", "p", T.tokens(F.col("title"), 4).alias("ws")), ["p", "id"], "n")
+    pairs = materialise(M.all_overlap_pairs(n, "n", F.col("ws"), "p", 72, 0.5), "pairs")
+    s = M.stars(n.select("n", "p"), pairs, "n", "p", 8)
+    head = n.select(F.col("n").alias("kopf"), F.col("id").alias("kopf_id"))
+    return s.join(n.select("n", "id"), "n").join(head, "kopf").select("id", F.col("kopf_id").alias("kopf"))
 
 
 @query(

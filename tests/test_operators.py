@@ -35,6 +35,23 @@ def test_best_match_is_one_to_one(spark):
     assert len({a for a, _ in got}) == len(got) == 2 and len({b for _, b in got}) == 2
 
 
+def test_all_overlap_pairs_keep_frequent_words(spark):
+    """Every title holds a frequent word and some have no time; the pairs are those of the plain double loop."""
+    rng = random.Random(5)
+    rows = [(k, rng.choice([None, *range(0, 400)]) if k % 9 else None, sorted(rng.sample(["oft", "viel", "stets", "mal"], rng.randrange(1, 4))) + rng.sample([f"w{i}" for i in range(30)], rng.randrange(0, 4))) for k in range(240)]
+    want = set()
+    for x in rows:
+        for y in rows:
+            n = len(set(x[2]) & set(y[2])) / min(len(x[2]), len(y[2]))
+            if x[0] < y[0] and n >= 0.5 and (x[1] is None or y[1] is None or abs(x[1] - y[1]) <= 72):
+                want.add((x[0], y[0], round(n, 4)))
+    df = spark.createDataFrame(rows, "k bigint, h int, ws array<string>").withColumn("p", F.timestamp_seconds(F.col("h") * 3600))
+    got = [(r.a, r.b, r.deckung) for r in M.all_overlap_pairs(df, "k", F.col("ws"), "p", 72, 0.5).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    capped = M.overlap_pairs(df, "k", F.col("ws"), "p", 72, 0.5, 2, 50).count()
+    assert capped < len(want)
+
+
 def test_stars_equal_the_sequential_rule(spark):
     rng = random.Random(3)
     n = 40
