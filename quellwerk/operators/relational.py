@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quellwerk.session import materialise
-
 
 def unseen(batch: DataFrame, seen: DataFrame, key: str, order: list) -> DataFrame:
     """First row of every key that the store does not hold: keep-first inside the batch, then a left anti join."""
@@ -101,21 +101,30 @@ def near_in_time(rows: DataFrame, key: str, ident: str, when: str, hours: int) -
 
 
 def best_match(offers: DataFrame, candidates: DataFrame, key: str, score: str) -> DataFrame:
-    """Greedy one-to-one choice inside a key by descending score: rounds of mutual best pairs.
+    """Greedy one-to-one choice inside a key by descending score of the offers and candidates that share it."""
+    return greedy_match(offers.join(candidates, key), key, score)
+
+
+def greedy_match(pairs: DataFrame, key: str, score: str) -> DataFrame:
+    """Greedy one-to-one choice among the pairs (angebot, bild) of a key by descending score, then by angebot and bild.
 
-    In every round the pairs that are best for both sides are taken; each round is
-    two windows over what is left, and the number of rounds is at most the size of the smaller side.
+    The pairs of a key pass once in that order and a pair is taken if both sides are free,
+    until no pair is left; only the sides taken in the key at hand are held.
     """
-    left = materialise(offers.join(candidates, key).select(key, "angebot", "bild", score), "pairs")
-    taken = None
-    for _ in range(50):
-        o = Window.partitionBy(key, "angebot").orderBy(F.col(score).desc(), "bild")
-        b = Window.partitionBy(key, "bild").orderBy(F.col(score).desc(), "angebot")
-        mutual = left.withColumn("ro", F.row_number().over(o)).withColumn("rb", F.row_number().over(b)).where("ro = 1 and rb = 1").select(key, "angebot", "bild", score)
-        mutual = materialise(mutual, "matched")
-        if mutual.isEmpty():
-            break
-        taken = mutual if taken is None else taken.union(mutual)
-        left = left.join(mutual.select(key, "angebot"), [key, "angebot"], "left_anti").join(mutual.select(key, "bild"), [key, "bild"], "left_anti")
-        left = materialise(left, "pairs")
-    return taken if taken is not None else left.limit(0)
+    pairs = pairs.select(key, "angebot", "bild", score).where(F.col(key).isNotNull())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, offers, images = None, set(), set()
+        for batch in batches:
+            free = []
+            for k, a, b in zip(batch[key].tolist(), batch["angebot"].tolist(), batch["bild"].tolist()):
+                if k != at:
+                    at, offers, images = k, set(), set()
+                free.append(a not in offers and b not in images)
+                if free[-1]:
+                    offers.add(a)
+                    images.add(b)
+            yield batch[free]
+
+    ordered = pairs.repartition(key).sortWithinPartitions(key, F.col(score).desc(), "angebot", "bild")
+    return ordered.mapInPandas(run, pairs.schema)

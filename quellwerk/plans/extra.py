@@ -45,12 +45,12 @@ def h32_sections(spark, sf):
 
 @query()
 def c19_greedy_matching(spark, sf):
-    """Parts of one brand matched one to one to parts of the same brand and next size by shared words; rounds of mutual best pairs."""
+    """Parts of one brand matched one to one to parts of the same brand and next size by the words the two share, best pairs first."""
     p = table(spark, sf, "part").withColumn("w", F.array_distinct(F.split("p_name", " ")))
     offers = p.where("p_size <= 25").select(F.concat_ws("|", "p_brand", "p_size").alias("k"), F.col("p_partkey").alias("angebot"), "w")
     images = p.where("p_size > 25").select(F.concat_ws("|", "p_brand", (F.col("p_size") - 25).cast("string")).alias("k"), F.col("p_partkey").alias("bild"), F.col("w").alias("v"))
     scored = offers.join(images, "k").withColumn("punkte", F.size(F.array_intersect("w", "v")) + F.lit(0.5)).select("k", "angebot", "bild", "punkte")
-    return R.best_match(scored.select("k", "angebot").distinct(), scored.select("k", "bild", "punkte").groupBy("k", "bild").agg(F.max("punkte").alias("punkte")), "k", "punkte")
+    return R.greedy_match(scored, "k", "punkte")
 
 
 @query(

@@ -35,6 +35,22 @@ def test_best_match_is_one_to_one(spark):
     assert len({a for a, _ in got}) == len(got) == 2 and len({b for _, b in got}) == 2
 
 
+def test_greedy_match_leaves_no_pair(spark):
+    """A key of 70 by 80 rows, more than 50 rounds of equal scores; the result is that of the sorted loop."""
+    rng = random.Random(4)
+    rows = [("k", a, b, rng.choice([0.5, 0.5, 1.5])) for a in range(70) for b in range(80)] + [("l", 1, 1, 0.5), ("l", 1, 2, 2.5), ("l", 3, 2, 2.0)]
+    want, done = set(), set()
+    for k, a, b, p in sorted(rows, key=lambda x: (x[0], -x[3], x[1], x[2])):
+        if not {(k, "a", a), (k, "b", b)} & done:
+            done |= {(k, "a", a), (k, "b", b)}
+            want.add((k, a, b, p))
+    df = spark.createDataFrame(rows, "k string, angebot int, bild int, p double")
+    got = {tuple(r) for r in R.greedy_match(df, "k", "p").collect()}
+    assert got == want and len(got) == 71
+    same = R.best_match(df.where("k = 'k'").select("k", "angebot").distinct(), df.where("k = 'k'").select("k", "bild").distinct().withColumn("p", F.lit(1.0)), "k", "p")
+    assert same.count() == 70
+
+
 def test_all_overlap_pairs_keep_frequent_words(spark):
     """Every title holds a frequent word and some have no time; the pairs are those of the plain double loop."""
     rng = random.Random(5)
