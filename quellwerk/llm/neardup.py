@@ -3,12 +3,11 @@
 1.  A row's article is its own paragraphs; its elements are the word shingles.
     One hash function maps shingles to 64 bits; the k smallest are the sketch.
 2.  Exact copies are one class, represented by their smallest row number.
-3.  Inverted lists: every retained value, with the values that follow it in the
-    sketch, is a posting.  A list is keyed by a value and its successor, and a
-    long list is divided by the next successors until it is short; lists that
-    stay long agree on a whole run of smallest values and are joined, not
-    collected.  So a phrase of the corpus that stands in many rows costs no more
-    than a rare one, and no list is cut.
+3.  Inverted lists: every retained value, with the value that follows it in the
+    sketch, is a posting.  Short lists are collected; long ones are joined in
+    blocks, so no list is cut or divided and a pair in a large family needs no
+    more evidence than one in a small family.  A phrase that stands in many rows
+    costs the square of their number.
 4.  Pairs met often enough are estimated with their union sketch, and those above
     the filter get the exact Jaccard of their shingle sets.
 5.  The definition of the same article is then checked sentence by sentence.
@@ -33,8 +32,8 @@ from quellwerk.llm.pages import article_positions
 from quellwerk.llm.sentence_rules import sentence_spans
 from quellwerk.session import materialise
 
-#: Words per shingle, values kept per sketch, longest list that is paired as a whole.
-SHINGLE, SKETCH, LIST = 5, 40, 12
+#: Words per shingle, values kept per sketch, longest list that is collected, members of a longer list in a block.
+SHINGLE, SKETCH, LIST, BLOCK = 5, 40, 12, 1000
 #: Pairs must meet in this many lists, reach this estimated and this exact Jaccard.
 MEETINGS, ESTIMATE, JACCARD = 2, 0.12, 0.2
 #: Share of the longer row's sentences that must stand in the other; share of a sentence's words that may differ.
@@ -206,31 +205,24 @@ def _lists(classes: DataFrame) -> DataFrame:
     """a, b: class pairs that meet in an inverted list, once per list."""
     s = F.col("sketch")
     value = lambda i: F.coalesce(F.get(s, i), F.lit(0))
-    # the key of a list is a value and its successor; the following successors divide long lists
+    # the key of a list is a value and its successor
     def lists(salt: int):
-        return F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(s) - 2, F.lit(0))),
-            lambda i: F.struct(F.xxhash64(value(i), value(i + 1), F.lit(salt)).alias("l"), F.hash(value(i + 2)).alias("m"), F.hash(value(i + 3)).alias("n")),
-        )
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - 2, F.lit(0))), lambda i: F.xxhash64(value(i), value(i + 1), F.lit(salt)))
 
     # a text of few values has two lists for each, so that it can meet others often enough
     posting = F.when(F.size(s) <= 4, F.concat(*[lists(i) for i in range(MEETINGS)])).otherwise(lists(0))
-    post = classes.select("k", F.explode(posting).alias("p")).select("k", "p.l", "p.m", "p.n").repartition("l")
-    post = post.withColumn("c3", F.count("*").over(Window.partitionBy("l", "m", "n")))
-    post = post.withColumn("c2", F.count("*").over(Window.partitionBy("l", "m")))
-    post = post.withColumn("c1", F.count("*").over(Window.partitionBy("l")))
-    level = F.when(F.col("c1") <= LIST, 1).when(F.col("c2") <= LIST, 2).otherwise(3)
-    post = post.withColumn("level", level)
-    post = post.where(F.when(F.col("level") == 1, F.col("c1")).when(F.col("level") == 2, F.col("c2")).otherwise(F.col("c3")) > 1)
-    post = post.select("k", "l", F.when(F.col("level") > 1, F.col("m")).alias("m"), F.when(F.col("level") > 2, F.col("n")).alias("n"), "level", "c3")
-    short = post.where((F.col("level") < 3) | (F.col("c3") <= LIST))
+    post = classes.select("k", F.explode(posting).alias("l")).repartition("l")
+    post = post.withColumn("c", F.count("*").over(Window.partitionBy("l"))).where("c > 1")
     # at most LIST members each
-    members = short.groupBy("l", "m", "n").agg(F.sort_array(F.collect_set("k")).alias("ks"))
+    members = post.where(F.col("c") <= LIST).groupBy("l").agg(F.sort_array(F.collect_set("k")).alias("ks"))
     pairs = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, LIST), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     met = members.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-    long = post.where((F.col("level") == 3) & (F.col("c3") > LIST)).select("k", "l", "m", "n")
-    other = long.select(F.col("k").alias("k2"), "l", "m", "n")
-    return met.union(long.join(other, ["l", "m", "n"]).where("k < k2").select(F.col("k").alias("a"), F.col("k2").alias("b")))
+    # every member of a longer list meets every other; one side is dealt into blocks, so no task has a whole list
+    long = post.where(F.col("c") > LIST)
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    one = long.select("k", "l", F.pmod(F.hash("k"), blocks).alias("block"))
+    other = long.select(F.col("k").alias("k2"), "l", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    return met.union(one.join(other, ["l", "block"]).where("k < k2").select(F.col("k").alias("a"), F.col("k2").alias("b")))
 
 
 def similar_classes(classes: DataFrame, texts: DataFrame, accept: Callable[[str, str], bool]) -> DataFrame:

@@ -63,6 +63,28 @@ def test_long_lists_lose_no_pair(spark):
     assert N.same_article_pairs(df, spark.createDataFrame([], "zeilen_nr bigint")).count() == len(pages) * (len(pages) - 1) // 2
 
 
+def test_large_family_of_edited_copies(spark):
+    """Sixty copies with a word changed in 60 % of the sentences of each; a pair needs no more than in a small family."""
+    rng = random.Random(9)
+    words = [f"wort{i}" for i in range(3000)]
+    base = [[rng.choice(words) for _ in range(15)] for _ in range(24)]
+    texts = []
+    for _ in range(60):
+        copy = [list(x) for x in base]
+        for x in copy:
+            if rng.random() < 0.6:
+                x[rng.randrange(1, 14)] = rng.choice(words)
+        texts.append(" ".join(" ".join(x).capitalize() + "." for x in copy))
+    h, o = N.shingle_hashes(texts)
+    pairs = [(i, j) for i, j in itertools.combinations(range(60), 2) if N.exact_jaccard(texts[i], texts[j]) >= N.JACCARD]
+    sketch = [h[o[i] : o[i + 1]][: N.SKETCH].view(np.int64).tolist() for i in range(60)]
+    runs = [set(zip(x, x[1:])) for x in sketch]
+    want = {(i, j) for i, j in pairs if len(runs[i] & runs[j]) >= N.MEETINGS}
+    classes = spark.createDataFrame(list(enumerate(sketch)), "k bigint, sketch array<bigint>")
+    met = [(r.a, r.b) for r in N._lists(classes).collect()]
+    assert len(want) > 0.8 * len(pairs) and want <= {p for p in set(met) if met.count(p) >= N.MEETINGS}
+
+
 def test_sketch_estimates_jaccard():
     rng = random.Random(7)
     a = [_sentence(rng) for _ in range(60)]
