@@ -34,8 +34,8 @@ from quellwerk.session import materialise
 
 #: Words per shingle, values kept per sketch, longest list that is collected, members of a longer list in a block.
 SHINGLE, SKETCH, LIST, BLOCK = 5, 40, 12, 1000
-#: Pairs must meet in this many lists, reach this estimated and this exact Jaccard.
-MEETINGS, ESTIMATE, JACCARD = 2, 0.12, 0.2
+#: Pairs must meet in this many lists (in one, if a text has few values), reach this estimated and this exact Jaccard.
+MEETINGS, SHORT, ESTIMATE, JACCARD = 2, 4, 0.12, 0.2
 #: Share of the longer row's sentences that must stand in the other; share of a sentence's words that may differ.
 SHARE, CHANGED = 0.8, 0.34
 
@@ -202,32 +202,28 @@ def articles(pages: DataFrame, key: str, blocks: str) -> DataFrame:
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """a, b: class pairs that meet in an inverted list, once per list."""
+    """a, b, short (one has few values): class pairs that meet in an inverted list, once per list."""
     s = F.col("sketch")
     value = lambda i: F.coalesce(F.get(s, i), F.lit(0))
     # the key of a list is a value and its successor
-    def lists(salt: int):
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - 2, F.lit(0))), lambda i: F.xxhash64(value(i), value(i + 1), F.lit(salt)))
-
-    # a text of few values has two lists for each, so that it can meet others often enough
-    posting = F.when(F.size(s) <= 4, F.concat(*[lists(i) for i in range(MEETINGS)])).otherwise(lists(0))
-    post = classes.select("k", F.explode(posting).alias("l")).repartition("l")
+    lists = F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - 2, F.lit(0))), lambda i: F.xxhash64(value(i), value(i + 1)))
+    post = classes.select("k", (F.size(s) <= SHORT).alias("s"), F.explode(lists).alias("l")).repartition("l")
     post = post.withColumn("c", F.count("*").over(Window.partitionBy("l"))).where("c > 1")
     # at most LIST members each
-    members = post.where(F.col("c") <= LIST).groupBy("l").agg(F.sort_array(F.collect_set("k")).alias("ks"))
-    pairs = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, LIST), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    met = members.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    members = post.where(F.col("c") <= LIST).groupBy("l").agg(F.sort_array(F.collect_set(F.struct("k", "s"))).alias("ks"))
+    pairs = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, LIST), lambda y: F.struct(x["k"].alias("a"), y["k"].alias("b"), (x["s"] | y["s"]).alias("short")))))
+    met = members.select(F.explode(pairs).alias("p")).select("p.a", "p.b", "p.short")
     # every member of a longer list meets every other; one side is dealt into blocks, so no task has a whole list
     long = post.where(F.col("c") > LIST)
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    one = long.select("k", "l", F.pmod(F.hash("k"), blocks).alias("block"))
-    other = long.select(F.col("k").alias("k2"), "l", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    return met.union(one.join(other, ["l", "block"]).where("k < k2").select(F.col("k").alias("a"), F.col("k2").alias("b")))
+    one = long.select("k", "s", "l", F.pmod(F.hash("k"), blocks).alias("block"))
+    other = long.select(F.col("k").alias("k2"), F.col("s").alias("s2"), "l", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    return met.union(one.join(other, ["l", "block"]).where("k < k2").select(F.col("k").alias("a"), F.col("k2").alias("b"), (F.col("s") | F.col("s2")).alias("short")))
 
 
 def similar_classes(classes: DataFrame, texts: DataFrame, accept: Callable[[str, str], bool]) -> DataFrame:
     """a, b of every pair of classes (k, sketch) with enough in common that ``accept`` confirms on their texts (k, text)."""
-    met = materialise(_lists(classes).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= MEETINGS).select("a", "b"), "met")
+    met = materialise(_lists(classes).groupBy("a", "b").agg(F.count("*").alias("n"), F.max("short").alias("short")).where((F.col("n") >= MEETINGS) | F.col("short")).select("a", "b"), "met")
     pairs = _with(met, classes.select("k", "sketch"), "sketch", "s")
     small = F.least(F.size("sa"), F.size("sb"))
     both = F.size(F.array_intersect("sa", "sb"))

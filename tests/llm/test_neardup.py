@@ -85,6 +85,13 @@ def test_large_family_of_edited_copies(spark):
     assert len(want) > 0.8 * len(pairs) and want <= {p for p in set(met) if met.count(p) >= N.MEETINGS}
 
 
+def test_short_text_meets_a_longer_one_once(spark):
+    """Sketches of three and six values with one run in common are candidates; of six and seven they are not."""
+    classes = spark.createDataFrame([(1, [10, 20, 30]), (2, [10, 20, 40, 50, 60, 70]), (3, [1, 2, 60, 70, 80, 90, 95])], "k bigint, sketch array<bigint>")
+    texts = spark.createDataFrame([(k, "eins zwei drei vier fünf sechs") for k in (1, 2, 3)], "k bigint, text string")
+    assert {(r.a, r.b) for r in N.similar_classes(classes, texts, lambda a, b: True).collect()} == {(1, 2)}
+
+
 def test_sketch_estimates_jaccard():
     rng = random.Random(7)
     a = [_sentence(rng) for _ in range(60)]
