@@ -3,11 +3,12 @@
 1.  A row's article is its own paragraphs; its elements are the word shingles.
     One hash function maps shingles to 64 bits; the k smallest are the sketch.
 2.  Exact copies are one class, represented by their smallest row number.
-3.  Inverted lists: every retained value, with the value that follows it in the
-    sketch, is a posting.  Short lists are collected; long ones are joined in
-    blocks, so no list is cut or divided and a pair in a large family needs no
-    more evidence than one in a small family.  A phrase that stands in many rows
-    costs the square of their number.
+3.  Inverted lists: the values of every sketch are put in one order over all
+    texts, rare ones first, and the leading share is posted.  Two sketches of n
+    values that have m in common meet in at least m - (n - posted) lists, so a
+    pair of near copies cannot be missed however large its family is, while a
+    phrase that stands in many texts is posted by few of them.  No list is cut,
+    divided or gathered; a long one is an equi-join that is split when hot.
 4.  Pairs met often enough are estimated with their union sketch, and those above
     the filter get the exact Jaccard of their shingle sets.
 5.  The definition of the same article is then checked sentence by sentence.
@@ -20,27 +21,30 @@ repeated row numbers count once.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quellwerk.llm.pages import article_positions
 from quellwerk.llm.sentence_rules import sentence_spans
 from quellwerk.session import materialise
 
-#: Words per shingle, values kept per sketch, longest list that is collected, members of a longer list in a block.
-SHINGLE, SKETCH, LIST, BLOCK = 5, 40, 12, 1000
+#: Words per shingle, values kept per sketch, share of them that is posted, cells of the table that orders values, texts handled at once.
+SHINGLE, SKETCH, POSTED, CELLS, STEP = 5, 64, 0.65, 1 << 21, 256
 #: Pairs must meet in this many lists (in one, if a text has few values), reach this estimated and this exact Jaccard.
-MEETINGS, SHORT, ESTIMATE, JACCARD = 2, 4, 0.12, 0.2
+MEETINGS, SHORT, ESTIMATE, JACCARD = 3, 4, 0.12, 0.2
 #: Share of the longer row's sentences that must stand in the other; share of a sentence's words that may differ.
 SHARE, CHANGED = 0.8, 0.34
 
-_TOKEN = re.compile(r"[一-鿿]+|[぀-ゟ]+|[゠-ヿ]+|[^\W぀-ヿ一-鿿]+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Script of a character: words end where it changes (0: no word character).
+_POINTS = 0x30000
+_script = np.zeros(0, np.uint8)
+_weight = np.zeros(0, np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,47 +53,67 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words(dict):
-    """64-bit hash per word, kept per process up to a fixed number."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-        self[word] = h
-        return h
-
-
-_words = Words()
+def _tables(longest: int) -> None:
+    """Scripts of all characters and powers up to the longest word, once per process."""
+    global _script, _weight
+    if not len(_script):
+        _script = np.fromiter((chr(c).isalnum() or c == 95 for c in range(_POINTS)), np.uint8, _POINTS)
+        for code, (low, high) in enumerate(((0x4E00, 0x9FFF), (0x3040, 0x309F), (0x30A0, 0x30FF)), 2):
+            _script[low : high + 1] = code
+    if len(_weight) < longest:
+        _weight = np.cumprod(np.full(max(64, 2 * longest), 0x5851F42D4C957F2D, np.uint64))
+
+
+def lower(text: str) -> str:
+    """Lower case of the same length: the dotted capital is the one letter that would become two."""
+    return text.replace("\u0130", "i").lower()
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash of every word, where it starts in its text, and the offsets of each text's words."""
+    joined = "\n".join([lower(t) for t in texts] + [""])
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    begins = np.cumsum(sizes) - sizes
+    _tables(0)
+    kind = _script[np.minimum(points, _POINTS - 1)]
+    kind[points >= _POINTS] = 0
+    first = kind > 0
+    first[1:] &= kind[1:] != kind[:-1]
+    held = np.flatnonzero(kind)
+    at = np.flatnonzero(first[held])
+    starts = held[at]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, np.zeros(len(texts) + 1, np.int64)
+    lengths = np.diff(np.append(at, len(held)))
+    _tables(int(lengths.max()))
+    inside = np.arange(len(held)) - np.repeat(at, lengths)
+    hashes = _mix(np.add.reduceat(points[held].astype(np.uint64) * _weight[inside], at))
+    offsets = np.searchsorted(starts, np.append(begins, len(points)))
+    return hashes, starts - np.repeat(begins, np.diff(offsets)), offsets
 
 
 def shingle_hashes(texts: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every text, ascending, and the offsets of each text."""
-    hashes: list[int] = []
-    sizes = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        w = _TOKEN.findall(t.lower())
-        sizes[i] = len(w)
-        hashes += [_words[x] for x in w]
-    words = np.array(hashes, np.uint64)
-    ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    room = ends[owner] - np.arange(len(words))  # words left in the text, this one counted
+    words, _, offsets = word_hashes(texts)
+    sizes = np.diff(offsets)
+    room = np.repeat(offsets[1:], sizes) - np.arange(len(words))  # words left in the text, this one counted
     acc = np.zeros(len(words), np.uint64)
+    whole = int(sizes.min()) >= n if len(sizes) else False
     for j in range(n):
         shifted = np.zeros_like(words)
         if j < len(words):
             shifted[: len(words) - j] = words[j:]
-        acc = np.where(room > j, _mix(acc * _GOLD + shifted), acc)
-    first = np.arange(len(words)) == (ends - sizes)[owner]
-    keep = (room >= n) | first & (sizes[owner] < n)
-    owner, acc = owner[keep], acc[keep]
-    order = np.lexsort((acc, owner))
-    owner, acc = owner[order], acc[order]
-    fresh = np.ones(len(acc), bool)
-    fresh[1:] = (acc[1:] != acc[:-1]) | (owner[1:] != owner[:-1])
-    owner, acc = owner[fresh], acc[fresh]
-    return acc, np.searchsorted(owner, np.arange(len(texts) + 1))
+        mixed = (acc * _GOLD + shifted) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        acc = mixed if whole else np.where(room > j, mixed, acc)
+    acc = _mix(acc)
+    parts, ends = [], [0]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        own = np.unique(acc[a : b - n + 1] if b - a >= n else acc[a : min(a + 1, b)])
+        parts.append(own)
+        ends.append(ends[-1] + len(own))
+    return np.concatenate(parts) if parts else acc, np.array(ends)
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> float:
@@ -98,16 +122,21 @@ def union_estimate(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> float:
     return float(np.isin(union, np.intersect1d(a, b)).mean())
 
 
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
 def exact_jaccard(a: str, b: str, n: int = SHINGLE) -> float:
     h, o = shingle_hashes([a, b], n)
-    x, y = h[o[0] : o[1]], h[o[1] : o[2]]
-    both = len(np.intersect1d(x, y))
-    return both / max(1, len(x) + len(y) - both)
+    return _jaccard(h[o[0] : o[1]], h[o[1] : o[2]])
 
 
-def _distance(a: list[str], b: list[str], most: int) -> int:
+def _distance(a: tuple, b: tuple, most: int) -> int:
     """Edits between two word lists, or most + 1."""
-    if abs(len(a) - len(b)) > most:
+    common = set(a) & set(b)
+    # the longer list less the words that may pair with an equal one
+    if abs(len(a) - len(b)) > most or max(len(a), len(b)) - min(sum(x in common for x in a), sum(x in common for x in b)) > most:
         return most + 1
     while a and b and a[0] == b[0]:
         a, b = a[1:], b[1:]
@@ -125,15 +154,43 @@ def _distance(a: list[str], b: list[str], most: int) -> int:
     return row[-1]
 
 
-def sentence_words(text: str) -> list[list[str]]:
-    """Words of every sentence."""
-    out = [_TOKEN.findall(text[a:b].lower()) for a, b in sentence_spans(text)]
-    return [s for s in out if s]
+def sentence_lists(texts: list[str]) -> list[tuple[tuple[int, ...], ...]]:
+    """Hashes of the words of every sentence of every text."""
+    words, starts, offsets = word_hashes(texts)
+    out = []
+    for i, t in enumerate(texts):
+        spans = sentence_spans(t)
+        own = words[offsets[i] : offsets[i + 1]].tolist()
+        cuts = np.searchsorted(starts[offsets[i] : offsets[i + 1]], [a for a, _ in spans]).tolist() + [len(own)]
+        out.append(tuple(tuple(own[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b))
+    return out
+
+
+def sentence_words(text: str) -> tuple[tuple[int, ...], ...]:
+    """Hashes of the words of every sentence."""
+    return sentence_lists([text])[0]
+
+
+class Recent(dict):
+    """Sentences of the texts compared last, kept per process up to a fixed number."""
+
+    def add(self, texts: set[str]) -> None:
+        if len(self) > 20_000:
+            self.clear()
+        new = sorted(texts - self.keys())
+        self.update(zip(new, sentence_lists(new)))
+
+    def __missing__(self, text: str):
+        self.add({text})
+        return self[text]
+
+
+_sentences = Recent()
 
 
 def shared_sentences(a: str, b: str, changed: float = CHANGED) -> float:
     """Share of the longer text's sentences that stand in the other, each used once, a few words changed at most."""
-    x, y = sentence_words(a), sentence_words(b)
+    x, y = _sentences[a], _sentences[b]
     if len(x) < len(y):
         x, y = y, x
     if not y:
@@ -171,54 +228,81 @@ def shared_sentences(a: str, b: str, changed: float = CHANGED) -> float:
     return len(done_x) / len(x)
 
 
-def _apart(s: list[str], t: list[str], changed: float) -> float:
+def _apart(s: tuple, t: tuple, changed: float) -> float:
     """Edited words against the number that may be edited; above 1 if there are more."""
     most = max(1, int(changed * max(len(s), len(t))))
     d = _distance(s, t, most)
     return d / most if d <= most else 2.0
 
 
-def articles(pages: DataFrame, key: str, blocks: str) -> DataFrame:
-    """key, text (article paragraphs, one per block), digest (of the text without its white space), sketch."""
+def articles(pages: DataFrame, key: str, blocks: str, title: str | None = None) -> DataFrame:
+    """key, text (article paragraphs, one per block), digest (of the text without its white space), sketch (of title and text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, texts = [], []
-            for k, page in zip(batch["k"].tolist(), batch["b"].tolist()):
+            keys, texts, whole = [], [], []
+            for k, page, head in zip(batch["k"].tolist(), batch["b"].tolist(), batch["t"].tolist()):
                 own = article_positions(page)
                 if own:
                     keys.append(k)
                     texts.append("\n\n".join(page[i] for i in own))
-            if not texts:
-                continue
-            hashes, offsets = shingle_hashes(texts)
-            signed = hashes.view(np.int64)
-            digests = [hashlib.blake2b(" ".join(t.split()).encode("utf-8", "replace"), digest_size=16).digest() for t in texts]
-            sketches = [signed[offsets[i] : min(offsets[i] + SKETCH, offsets[i + 1])] for i in range(len(texts))]
-            yield pd.DataFrame({"k": pd.Series(keys, dtype="int64"), "text": texts, "digest": digests, "sketch": sketches})
-
-    source = pages.where(f"`{key}` is not null").selectExpr(f"cast(`{key}` as bigint) as k", f"`{blocks}` as b")
+                    whole.append(f"{head}\n\n{texts[-1]}" if head else texts[-1])
+            for i in range(0, len(texts), STEP):
+                hashes, offsets = shingle_hashes(whole[i : i + STEP])
+                signed = hashes.view(np.int64)
+                digests = [hashlib.blake2b(" ".join(t.split()).encode("utf-8", "replace"), digest_size=16).digest() for t in texts[i : i + STEP]]
+                sketches = [signed[a : min(a + SKETCH, b)] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pd.DataFrame({"k": pd.Series(keys[i : i + STEP], dtype="int64"), "text": texts[i : i + STEP], "digest": digests, "sketch": sketches})
+
+    head = f"`{title}`" if title in pages.columns else "cast(null as string)"
+    source = pages.where(f"`{key}` is not null").selectExpr(f"cast(`{key}` as bigint) as k", f"`{blocks}` as b", f"{head} as t")
     return source.mapInPandas(run, "k bigint, text string, digest binary, sketch array<bigint>")
 
 
+def value_order(classes: DataFrame) -> np.ndarray:
+    """Level (logarithm of its postings, 0: one at most) of every cell of a table of fixed size, to which the retained values are hashed.
+
+    Any fixed order of the values keeps the candidate search exact; this one puts values of many texts last.
+    """
+    cell = F.explode("sketch").alias("v")
+    counts = classes.select(cell).groupBy(F.col("v").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("c")).agg(F.count("*").alias("n")).where("n > 1")
+    rows = counts.select("c", F.least(F.lit(255), F.round(F.log2("n") * 8)).cast("short").alias("l")).toPandas()  # at most CELLS rows
+    out = np.zeros(CELLS, np.uint8)
+    out[rows["c"].to_numpy(np.int64)] = rows["l"].to_numpy()
+    return out
+
+
+def posted(size: int | np.ndarray) -> int | np.ndarray:
+    """How many of a sketch's values are posted to inverted lists: all of a small one, else this share."""
+    return np.minimum(size, np.maximum(2 * SHORT, np.ceil(POSTED * size).astype(np.int64)))
+
+
+def postings(classes: DataFrame) -> DataFrame:
+    """k, s (the text has few values), l: the rarest values of every sketch, each a list that others may meet."""
+    level = classes.sparkSession.sparkContext.broadcast(value_order(classes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, sketch = batch.column(0).to_numpy(), batch.column(1)
+            sizes = sketch.value_lengths().to_numpy().astype(np.int64)
+            values = sketch.flatten().to_numpy()
+            of = level.value[values & (CELLS - 1)]
+            owner = np.repeat(np.arange(len(k)), sizes)
+            order = np.lexsort((values, of, owner))
+            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            # a value alone in its cell is in no other text
+            keep = order[(place < np.repeat(posted(sizes), sizes)) & (of[order] > 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(k[owner[keep]]), pa.array(sizes[owner[keep]] <= SHORT), pa.array(values[keep])], names=["k", "s", "l"])
+
+    return classes.select("k", "sketch").mapInArrow(run, "k bigint, s boolean, l bigint")
+
+
 def _lists(classes: DataFrame) -> DataFrame:
     """a, b, short (one has few values): class pairs that meet in an inverted list, once per list."""
-    s = F.col("sketch")
-    value = lambda i: F.coalesce(F.get(s, i), F.lit(0))
-    # the key of a list is a value and its successor
-    lists = F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - 2, F.lit(0))), lambda i: F.xxhash64(value(i), value(i + 1)))
-    post = classes.select("k", (F.size(s) <= SHORT).alias("s"), F.explode(lists).alias("l")).repartition("l")
-    post = post.withColumn("c", F.count("*").over(Window.partitionBy("l"))).where("c > 1")
-    # at most LIST members each
-    members = post.where(F.col("c") <= LIST).groupBy("l").agg(F.sort_array(F.collect_set(F.struct("k", "s"))).alias("ks"))
-    pairs = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, LIST), lambda y: F.struct(x["k"].alias("a"), y["k"].alias("b"), (x["s"] | y["s"]).alias("short")))))
-    met = members.select(F.explode(pairs).alias("p")).select("p.a", "p.b", "p.short")
-    # every member of a longer list meets every other; one side is dealt into blocks, so no task has a whole list
-    long = post.where(F.col("c") > LIST)
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    one = long.select("k", "s", "l", F.pmod(F.hash("k"), blocks).alias("block"))
-    other = long.select(F.col("k").alias("k2"), F.col("s").alias("s2"), "l", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    return met.union(one.join(other, ["l", "block"]).where("k < k2").select(F.col("k").alias("a"), F.col("k2").alias("b"), (F.col("s") | F.col("s2")).alias("short")))
+    post = materialise(postings(classes), "postings")
+    one, other = post.select(F.col("k").alias("a"), F.col("s").alias("sa"), "l"), post.select(F.col("k").alias("b"), F.col("s").alias("sb"), "l")
+    # lists are never gathered: a list of any length is joined with itself, and a hot one is split by the join
+    return one.join(other, "l").where("a < b").select("a", "b", (F.col("sa") | F.col("sb")).alias("short"))
 
 
 def similar_classes(classes: DataFrame, texts: DataFrame, accept: Callable[[str, str], bool]) -> DataFrame:
@@ -239,7 +323,13 @@ def similar_classes(classes: DataFrame, texts: DataFrame, accept: Callable[[str,
 
     @F.pandas_udf("boolean")
     def confirmed(ta: pd.Series, tb: pd.Series) -> pd.Series:
-        return pd.Series([exact_jaccard(x, y) >= JACCARD and accept(x, y) for x, y in zip(ta, tb)], dtype=bool)
+        every = sorted({*ta, *tb})
+        number = {t: i for i, t in enumerate(every)}
+        hashes, offsets = shingle_hashes(every)
+        own = [hashes[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        enough = [_jaccard(own[number[x]], own[number[y]]) >= JACCARD for x, y in zip(ta, tb)]
+        _sentences.add({t for x, y, e in zip(ta, tb, enough) if e for t in (x, y)})
+        return pd.Series([e and accept(x, y) for x, y, e in zip(ta, tb, enough)], dtype=bool)
 
     return full.where(confirmed("ta", "tb")).select("a", "b").distinct()
 
@@ -267,18 +357,30 @@ def _same_article(a: str, b: str) -> bool:
     return shared_sentences(a, b) >= SHARE - 1e-9
 
 
-def same_article_pairs(pages: DataFrame, excluded: DataFrame, key: str = "zeilen_nr", blocks: str = "absaetze") -> DataFrame:
-    """key_a < key_b of all rows with the same article; rows in ``excluded`` form no pairs."""
+def same_article_links(pages: DataFrame, excluded: DataFrame, key: str = "zeilen_nr", blocks: str = "absaetze", title: str = "titel_original") -> tuple[DataFrame, DataFrame]:
+    """(k, class, size of every row; a, b of every pair of classes with the same article); a class is a group of exact copies."""
     # the texts are written once and never shuffled; classes, lists and links move keys and sketches only
-    art = materialise(articles(pages, key, blocks), "articles")
+    art = materialise(articles(pages, key, blocks, title), "articles")
     out = excluded.select(F.col(key).cast("bigint").alias("k")).distinct()
     keys = art.groupBy("k").agg(F.min("digest").alias("digest")).join(out, "k", "left_anti")
     groups = keys.groupBy("digest").agg(F.min("k").alias("class"), F.count("*").alias("size"))
     of = materialise(keys.join(groups, "digest").drop("digest"), "classes")
     classes = _without(art.select("k", "sketch"), art.select("k").join(of.where("k = class").select("k"), "k", "left_anti"))
-    links = materialise(similar_classes(classes, art.select("k", "text"), _same_article), "links")
+    return of, materialise(similar_classes(classes, art.select("k", "text"), _same_article), "links")
+
+
+def same_article_pairs(pages: DataFrame, excluded: DataFrame, key: str = "zeilen_nr", blocks: str = "absaetze", title: str = "titel_original") -> DataFrame:
+    """key_a < key_b of all rows with the same article; rows in ``excluded`` form no pairs."""
+    of, links = same_article_links(pages, excluded, key, blocks, title)
     a, b = of.select(F.col("k").alias("x"), F.col("class").alias("a")), of.select(F.col("k").alias("y"), F.col("class").alias("b"))
     across = links.join(a, "a").join(b, "b").select("x", "y")
     copies = of.where("size > 1")
     within = copies.select(F.col("k").alias("x"), "class").join(copies.select(F.col("k").alias("y"), "class"), "class").where("x < y").select("x", "y")
     return across.union(within).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
+
+
+def same_article_groups(pages: DataFrame, excluded: DataFrame, key: str = "zeilen_nr", blocks: str = "absaetze", title: str = "titel_original") -> DataFrame:
+    """key, klasse (smallest row of its exact copies), kopien, verweise (classes with the same article): one row per row with an article."""
+    of, links = same_article_links(pages, excluded, key, blocks, title)
+    ends = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+    return of.join(ends, "class", "left").select(F.col("k").alias(key), F.col("class").alias("klasse"), F.col("size").alias("kopien"), F.coalesce("n", F.lit(0)).alias("verweise"))

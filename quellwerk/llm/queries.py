@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quellwerk.llm.encode import token_ids
 from quellwerk.llm.language import language_cases
 from quellwerk.llm.mixing import mix
-from quellwerk.llm.neardup import same_article_pairs
+from quellwerk.llm.neardup import same_article_groups, same_article_pairs
 from quellwerk.llm.pages import furniture
 from quellwerk.llm.residue import residue
 from quellwerk.llm.sentences import sentences
@@ -38,6 +38,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_article_pairs(pages, residue(pages))
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its class of exact copies and the number of classes with the same article."""
+    pages = table(spark, sf_dir, "uebersetzungen")
+    return same_article_groups(pages, residue(pages))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with a missing or wrong label, and paragraphs in another language than their row's."""
     return p6_languages(spark, sf_dir).drop("konfidenz")
@@ -70,7 +76,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p6_found, p6_languages, p7_ids, p8_mix, p8_report, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p5_groups, p6_found, p6_languages, p7_ids, p8_mix, p8_report, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,6 +16,7 @@ mark is one span.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 WINDOW = 12
 UNBALANCED = 14.0
@@ -174,9 +175,25 @@ def _depths(text: str, start: int, stop: int) -> list[tuple[int, int]]:
     return out
 
 
+_MARK = re.compile("[.…!?！？。｡؟।॥]")
+_THAI = re.compile("[ก-๛]")
+
+
+def _terminals(text: str, start: int, stop: int) -> Iterator[re.Match]:
+    """Every candidate end; the pattern is tried at marks only, where no script ends sentences without one."""
+    if _THAI.search(text, start, stop):
+        yield from _TERMINAL.finditer(text, start, stop)
+        return
+    at = start
+    for mark in _MARK.finditer(text, start, stop):
+        if mark.start() >= at and (m := _TERMINAL.match(text, mark.start(), stop)):
+            at = m.end()
+            yield m
+
+
 def _block(text: str, start: int, stop: int, out: list[tuple[int, int]]) -> None:
     ends, gains = [start], [0.0]
-    for m in _TERMINAL.finditer(text, start, stop):
+    for m in _terminals(text, start, stop):
         gain = _score(text, m, start, stop)
         if gain is not None and gain > -6.0:
             ends.append(m.end())

@@ -58,7 +58,7 @@ def test_long_lists_lose_no_pair(spark):
     """More rows than a list may hold that all share their first sentences."""
     rng = random.Random(2)
     common = [_sentence(rng) for _ in range(12)]
-    pages = [[" ".join([*common, _sentence(rng)])] for _ in range(3 * N.LIST)]
+    pages = [[" ".join([*common, _sentence(rng)])] for _ in range(36)]
     df = spark.createDataFrame(list(enumerate(pages)), "zeilen_nr bigint, absaetze array<string>")
     assert N.same_article_pairs(df, spark.createDataFrame([], "zeilen_nr bigint")).count() == len(pages) * (len(pages) - 1) // 2
 
