@@ -266,9 +266,9 @@ def value_order(classes: DataFrame) -> np.ndarray:
     """
     cell = F.explode("sketch").alias("v")
     counts = classes.select(cell).groupBy(F.col("v").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("c")).agg(F.count("*").alias("n")).where("n > 1")
-    rows = counts.select("c", F.least(F.lit(255), F.round(F.log2("n") * 8)).cast("short").alias("l")).toPandas()  # at most CELLS rows
+    rows = counts.select("c", F.least(F.lit(255), F.round(F.log2("n") * 8)).cast("short").alias("l")).toArrow()  # at most CELLS rows, as columns
     out = np.zeros(CELLS, np.uint8)
-    out[rows["c"].to_numpy(np.int64)] = rows["l"].to_numpy()
+    out[rows["c"].to_numpy()] = rows["l"].to_numpy()
     return out
 
 
