@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registry():
     """All core queries and their SQL."""
-    from quellwerk.plans import analytics, catalog, extra, history, ingest, joins, monitor, scalar, stateful  # noqa: F401
+    from quellwerk.plans import analytics, catalog, dates, events, extra, history, ingest, joins, monitor, scalar, stateful  # noqa: F401
 
     return dict(catalog.QUERIES), dict(catalog.SQL)
