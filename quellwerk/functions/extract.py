@@ -6,18 +6,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Units of a delivery time by the beginning of their word, in days; words that make a sentence one about delivery or about something else.
+UNIT_DAYS = {"werktag": 1, "arbeitstag": 1, "tag": 1, "woche": 7}
+ABOUT_DELIVERY = ("liefer", "versand", "versend", "zustell")
+ABOUT_OTHER = ("laufzeit", "widerruf", "rückgabe", "kündig", "garantie", "gültig")
+LEAD_IN = ("in", "binnen", "innerhalb")
+BETWEEN = ("-", "–", "bis")
+
+
 def delivery_days(text: Column) -> Column:
-    """struct<lage, von, bis>: days until delivery named in a text; weeks count seven days; null if it names none."""
-    t = F.lower(text)
-    span = r"(\d{1,3})\s*(?:-|–|bis)\s*(\d{1,3})\s*(werktag|tag|woche)"
-    one = r"(?:in|binnen|innerhalb)?\s*(\d{1,3})\s*(werktag|tag|woche)"
-    number = lambda c: F.nullif(c, F.lit("")).cast("int")
-    factor = lambda unit: F.when(unit == "woche", 7).otherwise(1)
-    a, b, u = (F.regexp_extract(t, span, i) for i in (1, 2, 3))
-    c, v = F.regexp_extract(t, one, 1), F.regexp_extract(t, one, 2)
-    low, high = F.coalesce(number(a) * factor(u), number(c) * factor(v)), F.coalesce(number(b) * factor(u), number(c) * factor(v))
-    state = F.when(t.rlike("nicht (?:verfügbar|lieferbar)|ausverkauft"), "nicht").when(t.rlike("sofort (?:verfügbar|lieferbar)") | (high <= 3), "sofort").when(high.isNotNull(), "wartezeit")
-    return F.when(state.isNotNull(), F.struct(state.alias("lage"), low.alias("von"), high.alias("bis")))
+    """struct<lage, von, bis>: days until delivery named in a text; weeks count seven days; null if it names none.
+
+    Each sentence is read as tokens: a number before a unit is a time, with a second number before a separator a span.
+    It counts if the sentence is about delivery, or a word like "in" leads to it, and about nothing else that takes time.
+    """
+    low = F.lower(text)
+    begins = lambda word, stems: F.exists(F.array(*map(F.lit, stems)), lambda s: word.startswith(s))
+
+    def times(sentence: Column) -> Column:
+        tokens = F.regexp_extract_all(sentence, F.lit(r"(\d+|\p{L}+|[-–])"), 1)
+        at = lambda i: F.coalesce(F.get(tokens, i), F.lit(""))
+        number = lambda i: F.when(at(i).rlike(r"^\d{1,3}$"), at(i).cast("int"))
+        days = lambda i: F.coalesce(*[F.when(at(i).startswith(u), F.lit(n)) for u, n in UNIT_DAYS.items()])
+
+        def read(i: Column) -> Column:
+            first = F.when(at(i - 2).isin(*BETWEEN), number(i - 3))
+            led = at(F.when(first.isNull(), i - 2).otherwise(i - 4)).isin(*LEAD_IN)
+            return F.struct((F.coalesce(first, number(i - 1)) * days(i)).alias("von"), (number(i - 1) * days(i)).alias("bis"), led.alias("led"))
+
+        about, other = F.exists(tokens, lambda w: begins(w, ABOUT_DELIVERY)), F.exists(tokens, lambda w: begins(w, ABOUT_OTHER))
+        found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), read)
+        return F.filter(found, lambda x: x["bis"].isNotNull() & ~other & (about | x["led"]))
+
+    hit = F.try_element_at(F.flatten(F.transform(F.split(low, r"[.!?;\n]+"), times)), F.lit(1))
+    gone = F.exists(F.array(*map(F.lit, ("verfügbar", "lieferbar"))), lambda w: F.contains(low, F.concat(F.lit("nicht "), w))) | F.contains(low, F.lit("ausverkauft"))
+    now = F.exists(F.array(*map(F.lit, ("verfügbar", "lieferbar"))), lambda w: F.contains(low, F.concat(F.lit("sofort "), w))) | (hit["bis"] <= 3)
+    state = F.when(gone, "nicht").when(now, "sofort").when(hit.isNotNull(), "wartezeit")
+    return F.when(state.isNotNull(), F.struct(state.alias("lage"), hit["von"].alias("von"), hit["bis"].alias("bis")))
 
 
 def first_day(text: Column) -> Column:

@@ -52,3 +52,23 @@ def composite(axes: dict[str, Column], weights: dict[str, float]) -> Column:
     """Weighted axes of 0-3 as 0-100, a missing axis counts 0, half to even."""
     total = sum(weights.values())
     return F.bround(sum((F.coalesce(axes[a], F.lit(0)) * (w / total / 3.0 * 100.0) for a, w in weights.items()), F.lit(0.0)), 0).cast("int")
+
+
+def urgency(days: Column) -> Column:
+    """0-3 by the days to an end: 3 up to 14, 2 up to 30, 1 up to 90, 0 beyond, past or unknown."""
+    return F.when(days < 0, 0).when(days <= 14, 3).when(days <= 30, 2).when(days <= 90, 1).otherwise(0)
+
+
+def momentum(others: Column) -> Column:
+    """0-3 by the number of others that do the same: 0, 1, 2 to 3, 4 and more."""
+    return F.when(others >= 4, 3).when(others >= 2, 2).when(others >= 1, 1).otherwise(0)
+
+
+def clamped(axis: Column) -> Column:
+    """An axis as a whole number of 0-3; null counts 0."""
+    return F.least(F.greatest(F.coalesce(axis.cast("int"), F.lit(0)), F.lit(0)), F.lit(3))
+
+
+def relevance_level(home: Column, topic: Column, model: Column, fallback: Column) -> Column:
+    """3 if the home market and the topic are met, else the model's value up to 2, else the fallback up to 2."""
+    return F.when(home & topic, 3).otherwise(F.least(F.greatest(F.coalesce(model, fallback), F.lit(0)), F.lit(2))).cast("int")

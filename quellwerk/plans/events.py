@@ -24,9 +24,9 @@ FROM (SELECT DISTINCT x.id AS ia, y.id AS ib FROM (SELECT id, unnest(akteure) AS
 _VERDICT = "CASE WHEN coalesce(oa != ob, false) THEN 'verschieden' WHEN s >= 0.5 OR n AND s >= 0.16 THEN 'gleich' WHEN s >= 0.12 THEN 'grau' ELSE 'verschieden' END"
 
 
-def _told(spark, sf):
+def _told(spark, sf, which: str = "true"):
     first = R.latest(table(spark, sf, "items").where("id is not null"), ["id"], [F.col(c).asc_nulls_first() for c in ("eingang_am", "url", "title")])
-    return V.described(first, "id", "title", "operator", "published")
+    return V.described(first.where(which), "id", "title", "operator", "published")
 
 
 @query(f"SELECT id, url, eingang_am, {_ACTORS} AS akteure FROM items")
@@ -50,13 +50,12 @@ def h24_grey_priority(spark, sf):
 
 
 @query(
-    f"""WITH {_TOLD}, {_PAIRS}, h AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY zb, b) AS r FROM p WHERE {_VERDICT} = 'gleich' AND za >= TIMESTAMP '2026-05-01' AND zb < TIMESTAMP '2026-05-01')
+    f"""WITH f AS {_FIRST}, {_TOLD}, {_PAIRS}, h AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY zb, b) AS r FROM p WHERE {_VERDICT} = 'gleich' AND a IN (SELECT id FROM f WHERE origin != 'operator') AND b IN (SELECT id FROM f WHERE origin = 'operator'))
 SELECT a AS id, b AS ereignis FROM h WHERE r = 1"""
 )
 def c10_event_memory(spark, sf):
-    """New records that continue an event stored before."""
-    t = _told(spark, sf)
-    hit = V.remembered(t.where("zeit >= timestamp_ntz'2026-05-01'"), t.where("zeit < timestamp_ntz'2026-05-01'"))
+    """Reports by others that continue an event an operator told of."""
+    hit = V.remembered(_told(spark, sf, "origin != 'operator'"), _told(spark, sf, "origin = 'operator'"))
     return hit.select(F.col("k").alias("id"), "ereignis")
 
 

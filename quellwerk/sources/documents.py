@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 import xml.etree.ElementTree as ET
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 ENTRY = "struct<titel:string,url:string,datum:string,text:string,bild:string>"
 LINK = "struct<url:string,titel:string>"
 PRODUCT = "struct<name:string,sku:string,preis:string,waehrung:string,verfuegbar:string>"
+MEDIA = "struct<url:string,bild:string,volltext:string>"
 RULE = "struct<erlaubt:boolean,pfad:string>"
 MOST_ENTRIES, MOST_TEXT, MOST_RECORDS, MOST_DEPTH = 60, 600, 400, 8
 
@@ -36,29 +38,56 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2].lower()
 
 
+_STRAY = re.compile(r"&(?!(?:[a-zA-Z]+|#\d+|#x[0-9a-fA-F]+);)")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+_ENTRY = re.compile(r"<(item|entry)\b[^>]*>.*?(?=<(?:item|entry)\b|</(?:item|entry)>|\Z)", re.S | re.I)
+_CHILD = re.compile(r"<(title|link|pubDate|published|updated|date|description|summary|content|encoded)\b([^>]*?)(?:/>|>(.*?)</\1\s*>)", re.S | re.I)
+_CDATA = re.compile(r"<!\[CDATA\[|\]\]>")
+FULL_TEXT = 1200
+
+
+def _tree(raw: str):
+    """The document, as it is or with stray ampersands and control characters mended; None if neither parses."""
+    for text in (raw, _CONTROL.sub("", _STRAY.sub("&amp;", raw))):
+        try:
+            return ET.fromstring(text)
+        except (ET.ParseError, ValueError):
+            pass
+    return None
+
+
+def _nodes(raw: str):
+    """(name, text, attributes) of the children of every entry; a document that cannot be mended is read entry by entry."""
+    root = _tree(raw)
+    if root is not None:
+        for node in root.iter():
+            if _local(node.tag) in ("item", "entry"):
+                yield [(_local(c.tag), c.text or "", c.attrib) for c in node]
+        return
+    for m in _ENTRY.finditer(raw):
+        part = _tree(f"<r>{m.group()}</{m.group(1)}></r>")
+        if part is not None and len(part):
+            yield [(_local(c.tag), c.text or "", c.attrib) for c in part[0]]
+        else:
+            yield [(n.lower(), _CDATA.sub("", t) if "<![CDATA[" in t else unescape(t), dict(re.findall(r"(\w+)\s*=\s*[\"']([^\"']*)", a))) for n, a, t in _CHILD.findall(m.group())]
+
+
 def feed_entries(raw: str | None) -> list[dict]:
-    """Entries of an RSS or Atom document with title and link, at most sixty."""
-    try:
-        root = ET.fromstring((raw or "").strip())
-    except ET.ParseError:
-        return []
+    """Entries of an RSS or Atom document with title and link, at most sixty; malformed documents are mended."""
     out = []
-    for node in root.iter():
-        if _local(node.tag) not in ("item", "entry"):
-            continue
+    for children in _nodes((raw or "").strip()):
         held: dict[str, str] = {}
-        for child in node:
-            name = _local(child.tag)
+        for name, text, attributes in children:
             if name == "link":
-                held.setdefault("url", (child.get("href") or child.text or "").strip())
+                held.setdefault("url", (attributes.get("href") or text).strip())
             elif name == "title":
-                held.setdefault("titel", plain(child.text))
+                held.setdefault("titel", plain(text))
             elif name in ("pubdate", "published", "updated", "date"):
-                held.setdefault("datum", (child.text or "").strip())
+                held.setdefault("datum", text.strip())
+            elif name in ("enclosure", "thumbnail", "content") and attributes.get("url"):
+                held.setdefault("bild", attributes.get("url"))
             elif name in ("description", "summary", "content", "encoded"):
-                held["text"] = max(held.get("text", ""), plain(child.text), key=len)
-            elif name in ("enclosure", "thumbnail", "content") and child.get("url"):
-                held.setdefault("bild", child.get("url"))
+                held["text"] = max(held.get("text", ""), plain(text), key=len)
         if held.get("titel") and held.get("url"):
             out.append({"titel": held["titel"], "url": held["url"], "datum": held.get("datum"), "text": held.get("text", "")[:MOST_TEXT], "bild": held.get("bild")})
         if len(out) == MOST_ENTRIES:
@@ -66,6 +95,28 @@ def feed_entries(raw: str | None) -> list[dict]:
     return out
 
 
+_IMAGE = re.compile(r"<img\b[^>]*?\bsrc\s*=\s*[\"']([^\"']+)", re.I)
+
+
+def feed_media(raw: str | None) -> list[dict]:
+    """Per entry its address, its first media address or first image of its text, and its longest text if it is a full one."""
+    out = []
+    for children in _nodes((raw or "").strip()):
+        url, media, images, longest = None, None, None, ""
+        for name, text, attributes in children:
+            if name == "link":
+                url = url or (attributes.get("href") or text).strip()
+            if name in ("enclosure", "thumbnail", "content") and attributes.get("url") and not attributes.get("type", "image").startswith(("audio", "video")):
+                media = media or attributes["url"]
+            if name in ("description", "summary", "content", "encoded"):
+                found = _IMAGE.search(text)
+                images = images or (found.group(1) if found else None)
+                longest = max(longest, plain(text), key=len)
+        if url:
+            out.append({"url": url, "bild": media or images, "volltext": longest if len(longest) >= FULL_TEXT else None})
+    return out
+
+
 # Names under which records carry a field.
 _FIELDS = {"titel": ("title", "headline", "name", "titel"), "url": ("url", "link", "href", "permalink"), "datum": ("date", "published", "publishedat", "pubdate", "datum"), "text": ("summary", "description", "teaser", "excerpt"), "bild": ("image", "thumbnail", "bild")}
 
@@ -220,6 +271,10 @@ def parse_feed(raw):
     return _column(feed_entries, ENTRY, raw)
 
 
+def parse_media(raw):
+    return _column(feed_media, MEDIA, raw)
+
+
 def parse_json(raw):
     return _column(json_entries, ENTRY, raw)
 
