@@ -13,7 +13,7 @@ from quellwerk.llm.neardup import same_article_groups, same_article_pairs
 from quellwerk.llm.pages import furniture
 from quellwerk.llm.residue import residue
 from quellwerk.llm.sentences import sentences
-from quellwerk.llm.store import repeated_rows
+from quellwerk.llm.store import near_rows, repeated_rows
 from quellwerk.session import table
 
 
@@ -22,6 +22,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_rows(table(spark, sf_dir, "uebersetzungen"))
 
 
+def p1_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose text is a near copy of one accepted before, by the bits of its fingerprint."""
+    return near_rows(table(spark, sf_dir, "uebersetzungen"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs that are page furniture."""
     return furniture(table(spark, sf_dir, "uebersetzungen"))
@@ -76,7 +81,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p5_groups, p6_found, p6_languages, p7_ids, p8_mix, p8_report, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_near, p2_found, p4_found, p5_found, p5_groups, p6_found, p6_languages, p7_ids, p8_mix, p8_report, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
