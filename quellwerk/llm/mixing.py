@@ -6,9 +6,10 @@
 2.  The classifier gives each document a posterior over the sources, tempered
     by the document's length; the source label is evidence with a small error
     rate, so a posterior says where the document's tokens count.
-3.  Projected gradient descent on least squares finds a rate per document,
-    between 0 and the cap of its source, whose expected tokens per source match
-    the targets.  A document's rate after t steps follows from its own row and
+3.  Projected gradient descent on least squares finds a rate per document whose
+    expected tokens per domain match the targets.  Feasible rates lie between 0
+    and the cap of their source and give every label its target; the projection
+    is part of the descent, nothing is rescaled after it.  A document's rate after t steps follows from its own row and
     the t residuals so far, a few numbers per step; so no step carries state
     and each is one aggregation of one number per source.
 4.  Rates become whole uses: the whole part for all, one more for the documents
@@ -38,9 +39,9 @@ from pyspark.sql import functions as F
 from quellwerk.llm.encode import TOKENIZER, encoder
 from quellwerk.session import materialise
 
-#: Features of the classifier, error rate of a label, most the words count for, gradient steps, residual that ends them.
-FEATURES, LABEL_ERROR, EVIDENCE, STEPS, SLACK = 1024, 0.002, 3.0, 12, 1e-4
-MOST_SOURCES, BINS, FEW = 10_000, 256, 2000
+#: Features of the classifier, error rate of a label, most the words count for, steps of the fit, those kept for projections only, residual that ends them.
+FEATURES, LABEL_ERROR, EVIDENCE, STEPS, PROJECTIONS, SLACK = 1024, 0.02, 20.0, 14, 4, 1e-4
+MOST_SOURCES, BINS, FEW, PASSES = 10_000, 256, 200, 12
 
 
 def _targets(targets: DataFrame) -> pd.DataFrame:
@@ -100,7 +101,7 @@ def _posteriors(tokens: DataFrame, logp: np.ndarray, log_prior: np.ndarray) -> D
             score = counts @ logp / np.maximum(n, 1)[:, None] * np.sqrt(np.maximum(n, 1))[:, None] + log_prior
             label = np.full((len(q), k), np.log(LABEL_ERROR / max(1, k - 1)))
             label[np.arange(len(q)), q] = np.log1p(-LABEL_ERROR)
-            # the evidence of the words is bounded, a label is never overruled by length alone
+            # a label is evidence like the words; the bound only keeps the sums finite
             score = np.clip(score - score.max(1, keepdims=True), -EVIDENCE, 0) + label
             p = np.exp(score - score.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -110,44 +111,57 @@ def _posteriors(tokens: DataFrame, logp: np.ndarray, log_prior: np.ndarray) -> D
     return tokens.mapInArrow(run, "doc_id bigint, q int, n bigint, p array<float>")
 
 
-def _rates(p: np.ndarray, cap: np.ndarray, steps: list[np.ndarray], start: np.ndarray) -> np.ndarray:
+#: A step of the fit: a gradient per domain that moves rates by their posterior, and a shift per label.
+Step = tuple[np.ndarray, np.ndarray]
+
+
+def _rates(p: np.ndarray, q: np.ndarray, caps: np.ndarray, steps: list[Step], start: np.ndarray) -> np.ndarray:
     """Rates of documents after the steps so far: a function of their own rows."""
+    cap = caps[q]
     r = np.minimum(p @ start, cap)
-    for g in steps:
-        r = np.clip(r - p @ g, 0, cap)
+    for gradient, shift in steps:
+        r = np.clip(r - p @ gradient + shift[q], 0, cap)
     return r
 
 
-def _expected(posteriors: DataFrame, caps: np.ndarray, steps: list[np.ndarray], start: np.ndarray) -> np.ndarray:
-    """Expected tokens per source under the current rates."""
+def _expected(posteriors: DataFrame, caps: np.ndarray, steps: list[Step], start: np.ndarray) -> np.ndarray:
+    """Under the current rates: expected tokens per domain, tokens per label, and of these labels the tokens that can rise and that can fall."""
     k = len(caps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k)
+        total = np.zeros((4, k))
         for batch in batches:
-            p = batch.column(2).flatten().to_numpy().reshape(-1, k)
-            total += (batch.column(1).to_numpy() * _rates(p, caps[batch.column(0).to_numpy()], steps, start)) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(total)], names=["d", "t"])
-
-    rows = posteriors.select("q", "n", "p").mapInArrow(run, "d bigint, t double").groupBy("d").agg(F.sum("t").alias("t")).toPandas()
-    out = np.zeros(k)
+            q, n, p = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().reshape(-1, k)
+            r = _rates(p, q, caps, steps, start)
+            total[0] += (n * r) @ p
+            for i, of in enumerate((n * r, n * (r < caps[q]), n * (r > 0)), 1):
+                total[i] += np.bincount(q, of, minlength=k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4 * k)), pa.array(total.ravel())], names=["d", "t"])
+
+    rows = posteriors.select("q", "n", "p").mapInArrow(run, "d bigint, t double").groupBy("d").agg(F.sum("t").alias("t")).toPandas()  # four rows per source
+    out = np.zeros(4 * k)
     out[rows["d"].to_numpy(np.int64)] = rows["t"]
-    return out
+    return out.reshape(4, k)
 
 
-def fit(posteriors: DataFrame, have: np.ndarray, goal: np.ndarray, caps: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Steps of the projected gradient and the starting rate per source.
+def fit(posteriors: DataFrame, have: np.ndarray, goal: np.ndarray, caps: np.ndarray) -> tuple[list[Step], np.ndarray]:
+    """Steps of the projected gradient and the starting rate per domain.
 
-    The gradient is scaled by the tokens a source has, so that one step moves the
-    expected total of a source by its residual where no bound is met.
+    Rates are feasible if they lie between 0 and their cap and every label's tokens sum up to its goal.  A step moves
+    the rates against the gradient of the squared residuals of the domains; the projection shifts the rates of a label
+    by one number until its tokens are right.  Both are scaled by the tokens that can move, so that a step moves a total
+    by its residual where no further bound is met.
     """
-    scale = np.maximum(have, 1.0)
+    scale, none = np.maximum(have, 1.0), np.zeros(len(have))
     start, steps = np.minimum(goal / scale, caps), []
-    for _ in range(STEPS):
-        residual = _expected(posteriors, caps, steps, start) - goal
-        if np.abs(residual).max() <= SLACK * goal.sum():
+    enough = SLACK * goal.sum()
+    for turn in range(STEPS):
+        domains, labels, rise, fall = _expected(posteriors, caps, steps, start)
+        missing = goal - labels
+        feasible = np.abs(missing).max() <= enough
+        if feasible and (np.abs(domains - goal).max() <= enough or turn >= STEPS - PROJECTIONS):
             break
-        steps.append(residual / scale)
+        steps.append(((domains - goal) / scale, none) if feasible else (none, missing / np.maximum(np.where(missing > 0, rise, fall), 1.0)))
     return steps, start
 
 
@@ -156,7 +170,7 @@ def _uses(rated: DataFrame, need: np.ndarray) -> DataFrame:
     k = len(need)
     low, high, left = np.zeros(k), np.full(k, 64.0), need.astype(float).copy()
     bounds = lambda a: F.element_at(F.array(*[F.lit(float(x)) for x in a]), F.col("q") + 1)
-    for _ in range(8):
+    for turn in range(PASSES + 1):
         width = np.maximum((high - low) / BINS, 1e-300)
         inside = rated.where((F.col("z") >= bounds(low)) & (F.col("z") < bounds(high)))
         at = F.least(F.floor((F.col("z") - bounds(low)) / bounds(width)), F.lit(BINS - 1))
@@ -176,7 +190,9 @@ def _uses(rated: DataFrame, need: np.ndarray) -> DataFrame:
             most = max(most, int(cut["c"].iloc[0]) if len(cut) else 0)
         if most <= FEW:
             break
-    edge = rated.where((F.col("z") >= bounds(low)) & (F.col("z") < bounds(high))).select("doc_id", "q", "n", "z").limit(FEW * k + 1).toPandas().sort_values(["q", "z", "doc_id"])
+        if turn == PASSES:
+            raise ValueError("too many documents at one place of the order")  # the order is a hash of 40 bits
+    edge = rated.where((F.col("z") >= bounds(low)) & (F.col("z") < bounds(high))).select("doc_id", "q", "n", "z").toPandas().sort_values(["q", "z", "doc_id"])  # at most FEW rows a source
     chosen: list[int] = []
     for q, part in edge.groupby("q"):
         taken = 0
@@ -217,18 +233,13 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: i
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = batch.column(1).to_numpy()
-            r = _rates(batch.column(3).flatten().to_numpy().reshape(-1, k), caps[q], steps, start)
+            r = _rates(batch.column(3).flatten().to_numpy().reshape(-1, k), q, caps, steps, start)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(r)], names=["doc_id", "q", "n", "r"])
 
     rated = posteriors.mapInArrow(rate, "doc_id bigint, q int, n bigint, r double").where("n > 0")
     cap_of = F.element_at(F.array(*[F.lit(int(c)) for c in caps]), F.col("q") + 1)
     chance = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     part = F.col("r") - F.col("whole")
-    # the posteriors moved some tokens between sources: one scale per source brings the totals by label to the goal
-    total = rated.groupBy("q").agg(F.sum(F.col("r") * F.col("n")).alias("t")).toPandas()  # one row per source
-    scale = np.ones(k)
-    scale[total["q"]] = goal[total["q"]] / np.maximum(total["t"].to_numpy(float), 1e-9)
-    rated = rated.withColumn("r", F.least(F.col("r") * F.element_at(F.array(*[F.lit(float(x)) for x in scale]), F.col("q") + 1), cap_of.cast("double")))
     rated = rated.withColumn("whole", F.floor(F.col("r") + 1e-9).cast("int"))
     # a document at its cap is never used once more
     rated = materialise(rated.withColumn("z", F.when(F.col("whole") >= cap_of, F.lit(1e9)).otherwise(chance / F.greatest(part, F.lit(1 / 64)))), "rates")
