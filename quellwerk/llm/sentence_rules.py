@@ -1,12 +1,13 @@
 """Sentence spans of one text by semi-Markov dynamic programming.
 
 A blank line ends a block; inside a block every terminal mark is a candidate
-end.  The program picks the set of whole spans with the largest sum of
-scores: how well a span's last word closes it, how well its first word opens
-it, how long it is, and whether its quotation marks and brackets balance.
-The balance of a span depends only on the depths at its two ends, and the
-length score is constant beyond ``WINDOW`` candidates, so the best earlier
-ends per depth suffice: the search is exact and linear in the candidates.
+end, however unlikely.  The program picks the set of whole spans with the
+largest sum of scores: how well a span's last word closes it, how well its
+first word opens it, how long it is, and whether its quotation marks and
+brackets balance.  The balance of a span depends only on the depths at its two
+ends, and the length score is constant from ``LONG`` characters on, so of the
+starts farther back the best per depth suffices: the search is exact and its
+steps per candidate are bounded by the candidates in ``LONG`` characters.
 
 Offsets count code points, the end is exclusive, no span has white space at
 its ends.  Null, empty and blank texts have no spans; a text without any
@@ -18,8 +19,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-WINDOW = 12
+#: Characters from which a span counts as long; loss of a span whose quotations or brackets do not balance.
+LONG = 400
 UNBALANCED = 14.0
+#: An end that nothing speaks for: a small letter follows, or the word never ends a sentence.
+UNLIKELY = -6.0
 
 _BLANK_LINE = re.compile(r"(?:\r\n|\r|\n)[^\S\r\n]*(?:\r\n|\r|\n)\s*")
 _TERMINAL = re.compile(
@@ -30,6 +34,7 @@ _WORD_BACK = re.compile(r"[^\s(\[«“„\"'’]*$")
 _NEXT = re.compile(r"\s*(?:(?:C\+\+|[^\w\s\"“„«»”「『(¿¡‘]|<\|\w+\|>)+\s+)*")
 _DIGITS = re.compile(r"\d{1,2}$")
 _INITIAL = re.compile(r"[^\W\d_]$")
+_LETTERS = re.compile(r"[^\W\d_]*")
 
 # Abbreviations that never end a sentence, then ones that may.
 NEVER = frozenset("""
@@ -54,53 +59,57 @@ januari februari maart mei oktober ocak şubat mart nisan mayıs haziran temmuz
 
 # Words that say who spoke, after a closing quotation mark.
 SPEECH = re.compile(
-    r"\s*(?:と|って)|[^。！？!?」”]{0,40}?(?:喊道|问道|说道|问|说|表示|指出|补充)|\s*(?:صاح|سأل|قال|أضاف|صرخ|ذكر|أكد)|[^।!?”]{0,80}?(?:चिल्लाए|चिल्लाया|पूछा|कहा|बताया|बोले)|"
+    r"\s*(?:と|って)|[^。！？!?」”]*?(?:喊道|问道|说道|问|说|表示|指出|补充)|\s*(?:صاح|سأل|قال|أضاف|صرخ|ذكر|أكد)|[^।!?”]*?(?:चिल्लाए|चिल्लाया|पूछा|कहा|बताया|बोले)|"
     r"\s*(?:said|asked|shouted|noted|added)\b|\s?[^\s฀-๿]*\s?(?:กล่าว|ถาม|ตะโกน)"
 )
 _QUOTE_END = re.compile("[”»“」』\"]$")
 
 
-def _starts_upper(word: str) -> bool:
-    return word[:1].isupper() or len(word) > 1 and word[0].islower() and word[1].isupper()
+def _before(text: str, start: int, at: int) -> str:
+    """The text before a place, back to at least three words, or the start."""
+    width = 32
+    while True:
+        before = text[max(start, at - width) : at]
+        if at - width <= start or len(before.split()) > 3:
+            return before
+        width *= 2
 
 
-def _score(text: str, m: re.Match, start: int, stop: int) -> float | None:
-    """Gain of ending a sentence after the candidate; None if it is none."""
+def _opening(text: str, m: re.Match, stop: int) -> tuple[float | None, str, int, bool]:
+    """How well what follows a mark opens a sentence (None: no end can be here), its first character and place, and whether white space parts them."""
     end = m.end()
-    if end >= stop:
-        return None
-    mark = m.group()
-    if mark == "." and text[end] == " " and text[end + 1 : end + 2].isupper():
-        word = text[text.rfind(" ", start, end - 1) + 1 : end - 1]
-        if len(word) > 4 and word.islower() and word.isalpha() and word not in NEVER:
-            return 5.0
-    if not mark:
-        return 4.0
-    after = text[end : min(end + 60, stop)]
-    spaced = after[0].isspace()
-    gap = _NEXT.match(after)
-    nxt = after[gap.end() :] if spaced else after
-    head = nxt[:1]
+    spaced = text[end].isspace()
+    at = _NEXT.match(text, end, stop).end() if spaced else end
+    head = text[at : at + 1] if at < stop else ""
     if not head:
-        return 4.0 if not nxt and spaced else None
+        return (0.0 if spaced else None), head, at, spaced
+    if head.islower() and not text[at + 1 : at + 2].isupper():
+        return UNLIKELY - 5.0, head, at, spaced
+    return 0.0, head, at, spaced
+
+
+def _closing(text: str, m: re.Match, start: int, stop: int, head: str, at: int, spaced: bool) -> float:
+    """How well the mark and the words before it close a sentence, given the first character after it."""
+    mark, end = m.group(), m.end()
+    if not mark or not head:
+        return 4.0
     if m.group("hard"):
         strong = mark[0] in "。｡！？।॥؟"
-        if _QUOTE_END.search(mark) and SPEECH.match(after):
-            return -6.0
+        if _QUOTE_END.search(mark) and SPEECH.match(text, end, stop):
+            return UNLIKELY
         if not spaced and head in ",;:、，）)]":
-            return -6.0
+            return UNLIKELY
         if head in "—–-" or text[end : end + 2].strip()[:1] in ("—", "–"):
             return -4.0
-        if head.islower() and not _starts_upper(nxt):
-            return -6.0
         if not spaced and not strong and not (head.isupper() or head in "“„«¿¡\"「" or head.isalpha() and not head.islower()):
-            return -6.0
+            return UNLIKELY
         return 5.0
+    upper = head.isupper() or head.islower() and text[at + 1 : at + 2].isupper()
     if "…" in mark or mark.startswith(".."):
         if text[m.start() - 1] in "[(" or not spaced:
-            return -6.0 if not (head.isupper() and not spaced) else 1.0
-        return 4.0 if _starts_upper(nxt) or head in "“„«¿¡\"" or head.isalpha() and not head.islower() else -6.0
-    before = text[max(start, m.start() - 30) : m.start()]
+            return UNLIKELY if not (head.isupper() and not spaced) else 1.0
+        return 4.0 if upper or head in "“„«¿¡\"" or head.isalpha() and not head.islower() else UNLIKELY
+    before = _before(text, start, m.start())
     word = _WORD_BACK.search(before).group()
     if "\u200b" in word or "\xad" in word:
         word = word.replace("\u200b", "").replace("\xad", "")
@@ -110,47 +119,51 @@ def _score(text: str, m: re.Match, start: int, stop: int) -> float | None:
         low = tail[2]  # the sentence before ended without white space
     if not spaced:
         if head in ",;:)" or not head.isalpha() and head not in "“„«¿¡\"":
-            return -6.0
+            return UNLIKELY
         letters = word.rpartition("'")[2]
         if len(letters) < 2 or "." in word or low in NEVER or head.islower() or not (letters[-1].islower() or letters[-1].isdigit() or letters[-1] in "€%)" or letters[-1].isalpha() and not letters[-1].isupper() and not head.isupper()):
-            return -6.0
-        if letters[-1].isdigit() and not head.isupper():
-            return -6.0
-        return 3.0
+            return UNLIKELY
+        return UNLIKELY if letters[-1].isdigit() and not head.isupper() else 3.0
     if head in "—–-,;:":
         return -4.0
-    if head.islower() and not _starts_upper(nxt):
-        return -6.0
-    closes = bool(m.group("c1"))
-    if closes and not _QUOTE_END.search(mark):
+    if m.group("c1") and not _QUOTE_END.search(mark):
         return 4.0 if not head.isdigit() else 2.0
     if _DIGITS.search(word) and (len(word) <= 2):
         lead = before[: len(before) - len(word)].rstrip()
-        first = re.match(r"[^\W\d_]*", nxt).group().lower()
+        first = _LETTERS.match(text, at, stop).group().lower()
         if first in AFTER_ORDINAL or lead[-1:] in ":,":
-            return -6.0
-        prior = lead.rpartition(" ")[2]
-        return 4.0 if prior[:1].isupper() else 0.5
+            return UNLIKELY
+        return 4.0 if lead.rpartition(" ")[2][:1].isupper() else 0.5
     if _INITIAL.fullmatch(word):
         prior = before[: len(before) - len(word)].split()
         if word in "SML" and len(prior) > 1 and len(prior[-1]) > 2 and prior[-1][0].isupper() and prior[-1].isalpha() and prior[-2][-1] not in ".!?…»”\"":
             return 4.0
         if low == "д" and prior and prior[-1] == "т.":
             return 3.0
-        if low == "г" and _starts_upper(nxt) and re.search(r"\d{4}\s*г$", before):
+        if low == "г" and upper and re.search(r"\d{4}\s*г$", before):
             return 1.0
-        return -6.0
+        return UNLIKELY
     if low in MAY_END:
         return 2.0
     if low in NEVER or low.lstrip("(") in NEVER:
-        return -6.0
-    if head.isdigit():
-        return 2.0
-    return 5.0
+        return UNLIKELY
+    return 2.0 if head.isdigit() else 5.0
+
+
+def _score(text: str, m: re.Match, start: int, stop: int) -> float | None:
+    """Gain of ending a sentence after the candidate and opening one behind it; None if no sentence can end there."""
+    if m.end() >= stop:
+        return None
+    opening, head, at, spaced = _opening(text, m, stop)
+    return None if opening is None else opening + _closing(text, m, start, stop, head, at, spaced)
+
+
+#: Score of a long span.
+FAR = -0.5
 
 
 def _length(n: int) -> float:
-    return -3.0 if n < 3 else -0.2 if n < 8 else 0.0 if n < 400 else -0.5
+    return -3.0 if n < 3 else -0.2 if n < 8 else 0.0 if n < LONG else FAR
 
 
 def _depths(text: str, start: int, stop: int) -> list[tuple[int, int]]:
@@ -195,7 +208,7 @@ def _block(text: str, start: int, stop: int, out: list[tuple[int, int]]) -> None
     ends, gains = [start], [0.0]
     for m in _terminals(text, start, stop):
         gain = _score(text, m, start, stop)
-        if gain is not None and gain > -6.0:
+        if gain is not None:
             ends.append(m.end())
             gains.append(gain)
     ends.append(stop)
@@ -205,15 +218,6 @@ def _block(text: str, start: int, stop: int, out: list[tuple[int, int]]) -> None
         out.append((start, stop))
         return
     changes = _depths(text, start, stop)
-    if not changes and all(b - a >= 8 for a, b in zip(ends, ends[1:])):
-        # nothing ties the cuts to each other: every gain stands for itself
-        a = start
-        for e, g in zip(ends[1:-1], gains[1:-1]):
-            if g > 0:
-                out.append((a, e))
-                a = e
-        out.append((a, stop))
-        return
     depth, k, now = [], 0, 0
     for e in ends:
         while k < len(changes) and changes[k][0] <= e:
@@ -222,21 +226,26 @@ def _block(text: str, start: int, stop: int, out: list[tuple[int, int]]) -> None
         depth.append(now)
     value, back = [0.0] * n, [0] * n
     far_same: dict[int, tuple[float, int]] = {}
-    far_any = (-1e18, 0)
+    far_any, near = (-1e18, 0), 0
     for j in range(1, n):
-        if j > WINDOW:
-            i = j - WINDOW - 1
-            item = (value[i], i)
-            far_same[depth[i]] = max(far_same.get(depth[i], (-1e18, 0)), item)
+        at, own = ends[j], depth[j]
+        while at - ends[near] >= LONG:
+            item = (value[near], near)
+            if item > far_same.get(depth[near], (-1e18, 0)):
+                far_same[depth[near]] = item
             far_any = max(far_any, item)
+            near += 1
         best, arg = -1e18, 0
-        for i in range(max(0, j - WINDOW), j):
-            v = value[i] + _length(ends[j] - ends[i]) - (UNBALANCED if depth[i] != depth[j] else 0.0)
+        for i in range(near, j):
+            size = at - ends[i]
+            v = value[i] if size >= 8 else value[i] + _length(size)
+            if depth[i] != own:
+                v -= UNBALANCED
             if v > best:
                 best, arg = v, i
-        for v, i in ((far_same.get(depth[j], (-1e18, 0))), (far_any[0] - UNBALANCED, far_any[1])):
-            if v - 0.5 > best:
-                best, arg = v - 0.5, i
+        for v, i in ((far_same.get(own, (-1e18, 0))), (far_any[0] - UNBALANCED, far_any[1])):
+            if v + FAR > best:
+                best, arg = v + FAR, i
         value[j], back[j] = best + gains[j], arg
     cuts, j = [], n - 1
     while j:
