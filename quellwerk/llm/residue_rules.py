@@ -19,7 +19,8 @@ VARIABLES = re.compile(
     r"\[\[\s*[\w.]+\s*\]\]|@@\w+@@|\$\$\w+\$\$|__[A-Z][A-Z_]*[A-Z]__|%[A-Z][A-Z_]*[A-Z]%|(?<!\w)\[[a-z][a-zA-Z]*(?:\.[a-zA-Z]+)*\](?!\w)",
     re.S,
 )
-_QUOTED = re.compile(r"[“„«\"”‘‚「『'][^“”„«»\"「」『』]{0,60}$")
+_QUOTES = re.compile("[“”„«»\"‘’‚「」『』]|(?<!\\w)'|'(?!\\w)")
+_OPENING, _CLOSING = "“„«”\"‘‚「『'", "”“»«\"’‘」』'"
 
 # Words of the usual dummy text.
 LOREM = frozenset("""lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna
@@ -73,31 +74,54 @@ _HINTS = "{$<%[@_"
 
 
 def variables(text: str) -> list[tuple[str, bool]]:
-    """Every template variable of a text and whether quotation marks enclose it."""
+    """Every template variable of a text and whether quotation marks enclose it: the nearest mark before opens, the nearest after closes."""
     out = []
-    for m in VARIABLES.finditer(text):
-        before, after = text[max(0, m.start() - 64) : m.start()], text[m.end() : m.end() + 64]
-        out.append((m.group(), bool(_QUOTED.search(before)) and bool(re.match(r"[^“„«」』”»\"]{0,60}[”“»\"」』’]", after))))
+    found = list(VARIABLES.finditer(text))
+    marks = [m for m in _QUOTES.finditer(text) if not any(v.start() <= m.start() < v.end() for v in found)] if found else []
+    for v in found:
+        before = [m.group() for m in marks if m.end() <= v.start()]
+        after = [m.group() for m in marks if m.start() >= v.end()]
+        out.append((v.group(), bool(before and after) and before[-1] in _OPENING and after[0] in _CLOSING and _opens(before)))
     return out
 
 
+def _opens(before: list[str]) -> bool:
+    """Does the last mark open a quotation? A mark that may do both opens if an even number of its kind stood before."""
+    last = before[-1]
+    return last not in "\"'" or before.count(last) % 2 == 1
+
+
+_MARK = re.compile("[.!?。！？]")
+_PIECES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
+
+
 def paragraph_kind(text: str | None) -> int:
-    """NONE, RESIDUE or VARIABLE; null, empty and blank paragraphs are NONE."""
+    """NONE, RESIDUE or VARIABLE; null, empty and blank paragraphs are NONE.
+
+    A paragraph is residue if it is one as a whole or if each of its sentences is, however many there are.
+    """
     t = (text or "").strip()
     if not t:
         return NONE
     if any(c in t for c in _HINTS) and VARIABLES.search(t):
         return VARIABLE
-    if len(t) > 130:
-        return RESIDUE if _is_lorem(t) else NONE
-    low = t.lower()
-    if any(low.startswith(x) for x in _FILLER.get(low[:3], ())) or len(t) < 60 and FILLER_WORDS.fullmatch(t):
-        return RESIDUE
-    if _is_lorem(t) or _CODES.match(t) or t.count(" ") < 14 and any(x in low for x in _ERRORS):
+    if _is_lorem(t) or _message(t):
         return RESIDUE
-    if len(t) <= 110 and t.count(" ") < 12 and SCRIPTS.search(low) and not _DIGIT.search(t):
-        return RESIDUE
-    return NONE
+    end = _MARK.search(t)
+    if end is None or not _message(t[: end.end()]):
+        return NONE
+    return RESIDUE if all(_message(x) for x in _PIECES.split(t) if x) else NONE
+
+
+def _message(t: str) -> bool:
+    """Is a sentence, or a text of a sentence's length, filler, an error message or a script notice? Prose that reports on one has more words or figures."""
+    words = t.count(" ") + 1
+    if words > 20:
+        return False
+    low = t.lower()
+    if any(low.startswith(x) for x in _FILLER.get(low[:3], ())) or FILLER_WORDS.fullmatch(t) or _CODES.match(t):
+        return True
+    return words < 15 and any(x in low for x in _ERRORS) or words < 13 and bool(SCRIPTS.search(low)) and not _DIGIT.search(t)
 
 
 def _is_lorem(text: str) -> bool:
