@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quellwerk.llm.neardup import without
 from quellwerk.llm.pages import article_positions
 from quellwerk.session import materialise
 
@@ -35,6 +36,8 @@ PROFILE, COMPARED, STEP = 400, 250, 256
 APART, APART_SHORT, SHORT = 0.2, 0.295, 60
 #: Rows per label, and paragraphs per language, from which the profiles are taught besides the samples.
 TAUGHT_ROWS, TAUGHT_PARAGRAPHS, TAUGHT_SURE = 80, 400, 0.05
+#: Weight of a title's letters, so that a title decides between equals only.
+TITLE = 0.001
 #: Names are left out of texts that keep this many letters.
 LEFT = 8
 
@@ -236,30 +239,37 @@ def lessons(pages: DataFrame, samples: DataFrame, key: str, blocks: str, label:
     return tuple(taught)
 
 
-def paragraph_languages(pages: DataFrame, samples: DataFrame, key: str = "zeilen_nr", blocks: str = "absaetze", label: str = "sprache") -> DataFrame:
-    """key, absatz_nr, sprache, konfidenz, haupt (the row's main language), haupt_konfidenz: one row per article paragraph."""
+def paragraph_languages(pages: DataFrame, samples: DataFrame, key: str = "zeilen_nr", blocks: str = "absaetze", label: str = "sprache", title: str = "titel_original") -> DataFrame:
+    """key, absatz_nr, sprache, konfidenz, haupt (the row's main language), haupt_konfidenz: one row per article paragraph.
+
+    The main language is that of most letters of the article; between equals, and for articles without letters, the title decides.
+    """
     taught = lessons(pages, samples, key, blocks, label)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = profiles(taught)
         names = np.array(known.languages, dtype=object)
         for batch in batches:
-            keys, numbers, texts, sizes = [], [], [], []
-            for k, page in zip(batch["k"].tolist(), batch["b"].tolist()):
+            keys, numbers, texts, sizes, titles = [], [], [], [], []
+            for k, page, head in zip(batch["k"].tolist(), batch["b"].tolist(), batch["t"].tolist()):
                 own = article_positions(page)
                 if own:
                     sizes.append(len(own))
+                    titles.append(head or "")
                     for i in own:
                         keys.append(k)
                         numbers.append(i)
                         texts.append(page[i])
             if not texts:
                 continue
-            d, letters = known.compare(texts)
+            d, letters = known.compare(texts + titles)
             language, gap = nearest(d)
+            of_title, in_title = language[len(texts) :], letters[len(texts) :]
+            d, letters, language, gap = (x[: len(texts)] for x in (d, letters, language, gap))
             row = np.repeat(np.arange(len(sizes)), sizes)
             votes = np.zeros((len(sizes), len(names)))
             np.add.at(votes, (row, np.maximum(language, 0)), np.where(language >= 0, letters, 0))
+            np.add.at(votes, (np.arange(len(sizes)), np.maximum(of_title, 0)), np.where(of_title >= 0, np.minimum(in_title * TITLE, 0.5), 0))
             main = votes.argmax(1)
             of_main = d[np.arange(len(d)), main[row]]
             apart = (of_main - d.min(1)) / np.maximum(of_main, 1)
@@ -275,14 +285,17 @@ def paragraph_languages(pages: DataFrame, samples: DataFrame, key: str = "zeilen
                 }
             )
 
-    source = pages.where(f"`{key}` is not null").selectExpr(f"cast(`{key}` as bigint) as k", f"`{blocks}` as b")
+    head = f"`{title}`" if title in pages.columns else "cast(null as string)"
+    source = pages.where(f"`{key}` is not null").selectExpr(f"cast(`{key}` as bigint) as k", f"`{blocks}` as b", f"{head} as t")
     return source.mapInPandas(run, f"{key} bigint, absatz_nr int, sprache string, konfidenz double, haupt string, haupt_konfidenz double")
 
 
-def language_cases(pages: DataFrame, samples: DataFrame, excluded: DataFrame, key: str = "zeilen_nr", blocks: str = "absaetze", label: str = "sprache") -> DataFrame:
+def language_cases(pages: DataFrame, samples: DataFrame, excluded: DataFrame, key: str = "zeilen_nr", blocks: str = "absaetze", label: str = "sprache", title: str = "titel_original") -> DataFrame:
     """key, absatz_nr, sprache, konfidenz: rows whose label is missing or wrong (-1) and paragraphs in another language than their row's."""
-    rows = pages.join(excluded, key, "left_anti")
-    each = materialise(paragraph_languages(rows, samples, key, blocks, label), "languages")
+    wanted = [key, blocks, label, *([title] if title in pages.columns else [])]
+    # the excluded keys are written once and sent to the tasks if they are few enough; texts are not shuffled
+    rows = without(pages.select(*wanted, F.col(key).cast("bigint").alias("k_")), excluded.select(F.col(key).cast("bigint").alias("k_")), "k_").drop("k_")
+    each = materialise(paragraph_languages(rows, samples, key, blocks, label, title), "languages")
     segments = each.where("sprache != haupt").select(key, "absatz_nr", "sprache", "konfidenz")
     main = each.groupBy(key).agg(F.first("haupt").alias("haupt"), F.first("haupt_konfidenz").alias("konfidenz"))
     claimed = pages.select(F.col(key).cast("bigint").alias(key), label_language(F.col(label)).alias("claimed"))

@@ -347,10 +347,10 @@ def _with(pairs: DataFrame, rows: DataFrame, column: str, name: str) -> DataFram
     return pairs.join(a, "a").join(b, "b")
 
 
-def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+def without(rows: DataFrame, keys: DataFrame, key: str = "k") -> DataFrame:
     """The rows without some keys; rows are moved only if the keys are too many to say so everywhere."""
     keys = materialise(keys.distinct(), "dropped")
-    return rows.join(F.broadcast(keys) if keys.count() <= MOST_SENT else keys, "k", "left_anti")
+    return rows.join(F.broadcast(keys) if keys.count() <= MOST_SENT else keys, key, "left_anti")
 
 
 def _same_article(a: str, b: str) -> bool:
@@ -365,7 +365,7 @@ def same_article_links(pages: DataFrame, excluded: DataFrame, key: str = "zeilen
     keys = art.groupBy("k").agg(F.min("digest").alias("digest")).join(out, "k", "left_anti")
     groups = keys.groupBy("digest").agg(F.min("k").alias("class"), F.count("*").alias("size"))
     of = materialise(keys.join(groups, "digest").drop("digest"), "classes")
-    classes = _without(art.select("k", "sketch"), art.select("k").join(of.where("k = class").select("k"), "k", "left_anti"))
+    classes = without(art.select("k", "sketch"), art.select("k").join(of.where("k = class").select("k"), "k", "left_anti"))
     return of, materialise(similar_classes(classes, art.select("k", "text"), _same_article), "links")
 
 
