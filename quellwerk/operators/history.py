@@ -10,10 +10,12 @@ Shapes that keep one entity from becoming one task:
 
 * readings are first reduced per (entity, day), a hash aggregation with map-side
   combine, so an entity keeps at most one belief per day and change;
-* the sweep over a late-arriving neighbour is local to a belief row: it folds
-  the entity's days with the time each became known, an array that is bounded
-  by the calendar, not by the data; the join that brings it is an equi-join
-  that AQE splits when an entity is hot.
+* the sweep sees the days of an entity once, an array that is bounded by the
+  calendar, not by the data, and gives as many intervals as there are changes of
+  neighbours; they meet the beliefs in an equi-join on (entity, day).
+
+A ledger is a table like any other: ``applied`` takes a later batch into it and
+touches the open rows of the batch's entities only.
 
 Defined results: rows without entity, day or arrival are left out; a missing
 value is a value of its own in the ledger and keeps the last known one in
@@ -23,6 +25,9 @@ tie column; repeated rows change nothing; an empty table gives an empty ledger.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,31 +77,70 @@ def beliefs(readings: DataFrame, entity: str, day: str, recorded: str, values: l
     return changed.withColumn("until", F.lead("rec").over(w))
 
 
+def neighbours(first: DataFrame) -> DataFrame:
+    """entity, day, bis, von, ende: which known day followed a day (null: none), from and until when in recorded time (null: always, still).
+
+    A sweep over the days of an entity from the last to the first keeps the later days that were the next one at some
+    time: a day hides all later ones that became known after it, so days that arrive in order have one neighbour each.
+    ``first``: entity, day, first (when the day became known); an entity has at most one row per calendar day.
+    """
+    kind = dict(first.dtypes)["first"]
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple] = []
+            for entity, days in zip(batch["entity"], batch["days"]):
+                visible: list[tuple] = []  # nearest last; the farther, the earlier known
+                for d in sorted(days, key=lambda x: x["day"], reverse=True):
+                    ende = None
+                    for bis, von in reversed(visible):
+                        out.append((entity, d["day"], bis, von, ende))
+                        ende = von
+                    out.append((entity, d["day"], None, None, ende))
+                    while visible and visible[-1][1] >= d["first"]:
+                        visible.pop()
+                    visible.append((d["day"], d["first"]))
+            yield pd.DataFrame(out, columns=["entity", "day", "bis", "von", "ende"])
+
+    days = first.groupBy("entity").agg(F.collect_list(F.struct("day", "first")).alias("days"))
+    return days.mapInPandas(sweep, f"entity {dict(first.dtypes)['entity']}, day date, bis date, von {kind}, ende {kind}")
+
+
 def ledger(readings: DataFrame, entity: str, day: str, recorded: str, values: list[str], tie: str) -> DataFrame:
     """The bitemporal ledger: entity, values, gueltig_von, gueltig_bis, erfasst_von, erfasst_bis."""
     known = beliefs(readings, entity, day, recorded, values, tie)
-    first = known.groupBy("entity", "day").agg(F.min("rec").alias("first"))
-    # bounded by the calendar: one element per day an entity was ever read
-    days = first.groupBy(F.col("entity").alias("e")).agg(F.sort_array(F.collect_list(F.struct(F.col("first").alias("first"), F.col("day").alias("day")))).alias("days"))
-    swept = known.join(days, known.entity == days.e).drop("e")
-    later = F.filter("days", lambda d: d["day"] > F.col("day"))
-    # sweep: the next known day at the moment this belief was recorded, then each nearer day as it arrives
-    start = F.array_min(F.transform(F.filter(later, lambda d: d["first"] <= F.col("rec")), lambda d: d["day"]))
-    arrivals = F.filter(later, lambda d: (d["first"] > F.col("rec")) & (F.col("until").isNull() | (d["first"] < F.col("until"))))
-    piece = "struct<bis:date,von:timestamp,ende:timestamp>"
-    empty = F.from_json(F.lit("[]"), f"array<{piece}>")
-    zero = F.struct(start.alias("next"), F.col("rec").alias("since"), empty.alias("done"))
-
-    def step(state, d):
-        nearer = state["next"].isNull() | (d["day"] < state["next"])
-        closed = F.array_append(state["done"], F.struct(state["next"].alias("bis"), state["since"].alias("von"), d["first"].alias("ende")))
-        # days that became known at the same moment leave an empty piece, removed below
-        return F.when(nearer, F.struct(d["day"].alias("next"), d["first"].alias("since"), closed.alias("done"))).otherwise(state)
-
-    pieces = F.aggregate(arrivals, zero, step, lambda s: F.array_append(s["done"], F.struct(s["next"].alias("bis"), s["since"].alias("von"), F.lit(None).cast("timestamp").alias("ende"))))
-    out = swept.withColumn("p", F.explode(pieces)).withColumn("ende", F.coalesce("p.ende", "until"))
-    out = out.where(F.col("ende").isNull() | (F.col("p.von") < F.col("ende")))
-    return out.select(F.col("entity").alias(entity), "v.*", F.col("day").alias("gueltig_von"), F.col("p.bis").alias("gueltig_bis"), F.col("p.von").alias("erfasst_von"), F.col("ende").alias("erfasst_bis"))
+    next_ = neighbours(known.groupBy("entity", "day").agg(F.min("rec").alias("first")))
+    # a belief holds while it is believed and while its neighbour is the next day: the intersection of both intervals
+    met = known.join(next_, ["entity", "day"]).withColumn("a", F.greatest("rec", "von")).withColumn("b", F.least("until", "ende")).where("b is null or a < b")
+    return met.select(F.col("entity").alias(entity), "v.*", F.col("day").alias("gueltig_von"), F.col("bis").alias("gueltig_bis"), F.col("a").alias("erfasst_von"), F.col("b").alias("erfasst_bis"))
+
+
+def applied(book: DataFrame, readings: DataFrame, entity: str, day: str, recorded: str, values: list[str], tie: str) -> DataFrame:
+    """The ledger after a batch of readings recorded later than everything in it.
+
+    Only the open rows of the batch's entities are read and rewritten; closed rows and other entities stay as they
+    are.  A batch that holds an older recorded time is refused, it would change what was believed in the past.
+    """
+    new = readings.where(F.col(entity).isNotNull() & F.col(day).isNotNull() & F.col(recorded).isNotNull())
+    since = new.agg(F.min(recorded)).first()[0]
+    if since is None:
+        return book
+    touched = new.select(entity).distinct()
+    last = book.select(F.greatest("erfasst_von", "erfasst_bis").alias("t")).agg(F.max("t")).first()[0]
+    if last is not None and last >= since:
+        raise ValueError("the batch is older than the ledger")
+    open_ = book.where("erfasst_bis is null").join(touched, entity, "left_semi")
+    # the open rows are what was known before the batch, all at one moment before it
+    before = F.lit(since) - F.expr("interval 1 microsecond")
+    kind = dict(new.dtypes)
+    held = open_.select(F.col(entity), F.col("gueltig_von").alias(day), before.cast(kind[recorded]).alias(recorded), *values, F.lit("0").cast(kind[tie]).alias(tie))
+    again = ledger(held.unionByName(new.select(entity, day, recorded, *values, tie)), entity, day, recorded, values, tie)
+    kept = open_.select(entity, "gueltig_von", F.col("erfasst_von").alias("_von"))
+    again = again.join(kept, [entity, "gueltig_von"], "left")
+    start = F.when(F.col("erfasst_von") < F.lit(since), F.col("_von")).otherwise(F.col("erfasst_von"))
+    again = again.withColumn("erfasst_von", start).select(*book.columns)
+    rest = book.where("erfasst_bis is not null").unionByName(book.where("erfasst_bis is null").join(touched, entity, "left_anti").select(*book.columns))
+    return rest.unionByName(again)
 
 
 def as_of(book: DataFrame, recorded, valid=None) -> DataFrame:
@@ -146,3 +190,16 @@ def tariff_versions(tarife: DataFrame) -> DataFrame:
     """tarif_id, gueltig_von, gueltig_bis as yyyy-mm-dd; the last version's end is ''."""
     v = versions(current(tariff_ledger(tarife)), "tarif_id", ["cent", "stand"])
     return v.select("tarif_id", F.date_format("gueltig_von", "yyyy-MM-dd").alias("gueltig_von"), F.coalesce(F.date_format("gueltig_bis", "yyyy-MM-dd"), F.lit("")).alias("gueltig_bis"))
+
+
+def tariff_ledger_in_steps(tarife: DataFrame, days: list[str]) -> DataFrame:
+    """The ledger built from the readings before the first day, then batch by batch."""
+    from quellwerk.session import materialise
+
+    r = tariff_readings(tarife)
+    arrived = F.to_date("eingang_am")
+    names = ("tarif_id", "tag", "eingang_am", ["cent", "stand"], "satz_nr")
+    book = ledger(r.where(arrived < F.lit(days[0])), *names)
+    for a, b in zip(days, [*days[1:], "9999-12-31"]):
+        book = materialise(applied(materialise(book, "ledger"), r.where((arrived >= F.lit(a)) & (arrived < F.lit(b))), *names), "ledger")
+    return book

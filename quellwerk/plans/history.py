@@ -41,13 +41,36 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.tariff_versions(table(spark, sf_dir, "tarife"))
 
 
-@query()
+_LEDGER = (
+    _READINGS
+    + """, r AS (SELECT tarif_id, tag, eingang_am AS rec, cent, stand FROM day WHERE tarif_id IS NOT NULL AND tag IS NOT NULL AND eingang_am IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tarif_id, tag, eingang_am ORDER BY satz_nr DESC) = 1),
+b0 AS (SELECT *, row_number() OVER w AS nr, lag(cent) OVER w AS pc, lag(stand) OVER w AS ps FROM r WINDOW w AS (PARTITION BY tarif_id, tag ORDER BY rec)),
+b AS (SELECT tarif_id, tag, rec, cent, stand, lead(rec) OVER (PARTITION BY tarif_id, tag ORDER BY rec) AS bis FROM b0 WHERE nr = 1 OR cent IS DISTINCT FROM pc OR stand IS DISTINCT FROM ps),
+f AS (SELECT tarif_id, tag, min(rec) AS erst FROM b GROUP BY 1, 2),
+t AS (SELECT tarif_id, tag, rec, rec AS z FROM b UNION SELECT b.tarif_id, b.tag, b.rec, f.erst FROM b JOIN f ON f.tarif_id = b.tarif_id AND f.tag > b.tag AND f.erst > b.rec AND (b.bis IS NULL OR f.erst < b.bis)),
+n AS (SELECT t.tarif_id, t.tag, t.rec, t.z, min(f.tag) AS naechster FROM t LEFT JOIN f ON f.tarif_id = t.tarif_id AND f.tag > t.tag AND f.erst <= t.z GROUP BY 1, 2, 3, 4),
+s0 AS (SELECT *, lag(naechster) OVER w AS pn, row_number() OVER w AS nr FROM n WINDOW w AS (PARTITION BY tarif_id, tag, rec ORDER BY z)), s1 AS (SELECT * FROM s0 WHERE nr = 1 OR naechster IS DISTINCT FROM pn)
+SELECT b.tarif_id, b.cent, b.stand, b.tag AS gueltig_von, s1.naechster AS gueltig_bis, s1.z AS erfasst_von, coalesce(lead(s1.z) OVER (PARTITION BY s1.tarif_id, s1.tag, s1.rec ORDER BY s1.z), b.bis) AS erfasst_bis FROM s1 JOIN b USING (tarif_id, tag, rec)"""
+)
+
+
+@query(_LEDGER)
 def p3_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole bitemporal ledger of the tariffs."""
     return history.tariff_ledger(table(spark, sf_dir, "tarife"))
 
 
-@query()
+@query(_LEDGER)
+def p3_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ledger, built from the readings of one year and three later batches applied to it."""
+    return history.tariff_ledger_in_steps(table(spark, sf_dir, "tarife"), ["2026-01-01", "2026-04-01", "2026-07-01"])
+
+
+@query(
+    _READINGS
+    + """, h AS (SELECT tarif_id, tag, cent, stand FROM day WHERE tarif_id IS NOT NULL AND tag IS NOT NULL AND eingang_am <= TIMESTAMP '2025-12-31 23:59:59' QUALIFY row_number() OVER (PARTITION BY tarif_id, tag ORDER BY eingang_am DESC, satz_nr DESC) = 1)
+SELECT tarif_id, cent, stand, CAST(tag AS VARCHAR) AS von, CAST(lead(tag) OVER (PARTITION BY tarif_id ORDER BY tag) AS VARCHAR) AS bis FROM h"""
+)
 def p3_believed_midway(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was believed at the end of 2025, before later readings arrived."""
     book = history.tariff_ledger(table(spark, sf_dir, "tarife"))

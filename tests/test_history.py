@@ -68,3 +68,21 @@ def test_ledger_against_replay(spark):
             want |= {(k, d, n, days[d]) for d, n in zip(order, [*order[1:], "None"])}
         got = {(r.tarif_id, str(r.gueltig_von), str(r.gueltig_bis), r.cent) for r in book if r.erfasst_von <= now and (r.erfasst_bis is None or r.erfasst_bis > now)}
         assert got == want
+
+
+def test_batches_applied_to_a_ledger_give_the_ledger_of_all(spark):
+    import pytest
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        day = dt.date(2025, 1, 1) + dt.timedelta(days=rng.randrange(25))
+        rows.append((i, rng.choice("abc"), float(rng.randrange(3)), None, day.isoformat(), T(2025, 3, 1) + dt.timedelta(hours=rng.randrange(120)), 0))
+    df = _tarife(spark, rows)
+    whole = sorted(map(repr, H.tariff_ledger(df).collect()))
+    assert sorted(map(repr, H.tariff_ledger_in_steps(df, ["2025-03-02", "2025-03-04"]).collect())) == whole
+    names = ("tarif_id", "tag", "eingang_am", ["cent", "stand"], "satz_nr")
+    book, r = H.tariff_ledger(df), H.tariff_readings(df)
+    assert H.applied(book, r.limit(0), *names).count() == len(whole)
+    with pytest.raises(ValueError):
+        H.applied(book, r.limit(1), *names)
