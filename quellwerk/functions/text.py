@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,4 +87,18 @@ def visible(html: Column) -> Column:
 
 def json_block(text: Column) -> Column:
     """The first JSON object in free text, with or without a fence; null if there is none."""
-    return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
+    return F.pandas_udf(lambda s: s.map(first_object), "string", F.PandasUDFType.SCALAR)(text)
+
+
+def first_object(text: str | None) -> str | None:
+    """The first complete JSON object of a text as it stands there."""
+    at = (text or "").find("{")
+    while at >= 0:
+        try:
+            value, end = json.JSONDecoder().raw_decode(text, at)
+        except ValueError:
+            value = None
+        if isinstance(value, dict):
+            return text[at:end]
+        at = text.find("{", at + 1)
+    return None

@@ -53,12 +53,11 @@ def precedence_union(frames: list[DataFrame], key: str, columns: list[str]) -> D
 
 def value_diff(old: DataFrame, new: DataFrame, key: list[str], value: str) -> DataFrame:
     """Per key the values that came and went, sorted; keys without a change are left out."""
-    a = old.groupBy(*key).agg(F.collect_set(value).alias("_old"))
-    b = new.groupBy(*key).agg(F.collect_set(value).alias("_new"))
-    both = a.join(b, key, "full_outer")
-    empty = lambda c: F.coalesce(c, F.array().cast(dict(both.dtypes)["_old"]))
-    out = both.select(*key, F.array_sort(F.array_except(empty(F.col("_new")), empty(F.col("_old")))).alias("dazu"), F.array_sort(F.array_except(empty(F.col("_old")), empty(F.col("_new")))).alias("weg"))
-    return out.where((F.size("dazu") > 0) | (F.size("weg") > 0))
+    side = lambda df, c: df.where(F.col(value).isNotNull()).select(*key, value).distinct().withColumn(c, F.lit(True))
+    both = side(old, "_o").join(side(new, "_n"), [*key, value], "full_outer").where("_o is null or _n is null")
+    # only what changed is gathered
+    pick = lambda c: F.array_sort(F.collect_list(F.when(F.col(c), F.col(value))))
+    return both.groupBy(*key).agg(pick("_n").alias("dazu"), pick("_o").alias("weg"))
 
 
 def field_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -70,7 +69,7 @@ def field_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> D
     return o.join(n, key).select(key, F.explode(changed).alias("x")).select(key, "x.*")
 
 
-def longest_term(rows: DataFrame, key: str, text: str, terms: DataFrame, term: str, label: str, most_terms: int = 50_000) -> DataFrame:
+def longest_term(rows: DataFrame, key: str, text: str, terms: DataFrame, term: str, label: str) -> DataFrame:
     """key and label of the longest term that occurs as whole words.
 
     Rows and terms meet by an equi-join on the term's first word, so no row is compared with all terms.

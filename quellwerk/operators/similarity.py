@@ -119,6 +119,11 @@ def stars(rows: DataFrame, pairs: DataFrame, key: str, when: str, most: int) ->
 
 def fuzzy_upsert(new: DataFrame, known: DataFrame, block: str, key: str, words: str, known_key: str, known_words: str, least: float) -> DataFrame:
     """key and the known row of its block with the best overlap of at least so much, or null for an insert; ties take the smaller key."""
-    cand = new.join(known.select(block, known_key, known_words), block).withColumn("_d", overlap(F.col(words), F.col(known_words))).where(F.col("_d") >= least)
+    # rows meet in a word they share, never all rows of a block
+    size = lambda c: F.size(F.array_distinct(c))
+    a = new.select(block, key, size(words).alias("_a"), F.explode(F.array_distinct(words)).alias("_w"))
+    b = known.select(block, known_key, size(known_words).alias("_b"), F.explode(F.array_distinct(known_words)).alias("_w"))
+    shared = a.join(b, [block, "_w"]).groupBy(key, known_key, "_a", "_b").agg(F.count("*").alias("_n"))
+    cand = shared.withColumn("_d", F.col("_n") / F.least("_a", "_b")).where(F.col("_d") >= least)
     best = cand.groupBy(key).agg(F.min(F.struct((-F.col("_d")).alias("d"), F.col(known_key).alias("k"))).alias("m"))
     return new.select(key).join(best, key, "left").select(key, F.col("m.k").alias(known_key))

@@ -31,6 +31,35 @@ def d2_rare_tokens(spark, sf):
     return w.join(rare, "wort").groupBy("id").agg(F.array_sort(F.collect_list("wort")).alias("selten"))
 
 
+@query(
+    f"""WITH w AS (SELECT DISTINCT id, unnest({_TOK}) AS wort FROM items), d AS (SELECT wort, count(*) AS df FROM w GROUP BY wort), n AS (SELECT count(DISTINCT id) AS n FROM items)
+SELECT id, list_sort(list(wort)) AS selten FROM w JOIN d USING (wort), n WHERE df <= greatest(3, n // 8) GROUP BY id"""
+)
+def d2_relative_rarity(spark, sf):
+    """Words of a title that at most max(3, n div 8) of the n records have."""
+    w = table(spark, sf, "items").select("id", F.explode(T.tokens(F.col("title"), 4)).alias("wort")).distinct()
+    cap = max(3, scalar(table(spark, sf, "items").agg(F.count_distinct("id"))) // 8)
+    rare = w.groupBy("wort").agg(F.count("*").alias("df")).where(F.col("df") <= cap).select("wort")
+    return w.join(rare, "wort").groupBy("id").agg(F.array_sort(F.collect_list("wort")).alias("selten"))  # the words of one title
+
+
+@query(
+    f"""WITH w AS (SELECT DISTINCT id, source_name, unnest({_TOK}) AS wort FROM items), n AS (SELECT count(*) AS n FROM (SELECT DISTINCT id, source_name FROM items)), d AS (SELECT wort FROM w, n GROUP BY wort, n HAVING count(*) BETWEEN 3 AND greatest(8, n // 5)), v AS (SELECT * FROM w WHERE wort IN (SELECT wort FROM d))
+SELECT a.wort AS wort1, b.wort AS wort2, count(DISTINCT a.id) AS n, count(DISTINCT a.source_name) AS quellen FROM v a JOIN v b ON a.id = b.id AND a.source_name IS NOT DISTINCT FROM b.source_name AND a.wort < b.wort
+GROUP BY 1, 2 HAVING count(DISTINCT a.id) >= 4 AND count(DISTINCT a.source_name) >= 3"""
+)
+def d3_relative_pairs(spark, sf):
+    """Frequent word pairs, from words of at least three titles and at most max(8, n div 5) of the n titles."""
+    i = table(spark, sf, "items")
+    w = i.select("id", "source_name", F.explode(T.tokens(F.col("title"), 4)).alias("wort")).distinct()
+    cap = max(8, i.select("id", "source_name").distinct().count() // 5)
+    kept = w.join(w.groupBy("wort").agg(F.count("*").alias("n")).where((F.col("n") >= 3) & (F.col("n") <= cap)).select("wort"), "wort")
+    lists = kept.groupBy("id", "source_name").agg(F.array_sort(F.collect_set("wort")).alias("ws"))  # the words of one title
+    pairs = F.flatten(F.transform("ws", lambda x, n: F.transform(F.slice("ws", n + 2, F.size("ws")), lambda y: F.struct(x.alias("wort1"), y.alias("wort2")))))
+    p = lists.select("id", "source_name", F.inline(pairs))
+    return p.groupBy("wort1", "wort2").agg(F.count_distinct("id").alias("n"), F.count_distinct("source_name").alias("quellen")).where("n >= 4 and quellen >= 3")
+
+
 @query(
     f"""WITH w AS (SELECT DISTINCT id, source_name, unnest({_TOK}) AS wort FROM items), d AS (SELECT wort FROM w GROUP BY wort HAVING count(*) BETWEEN 3 AND 40), v AS (SELECT * FROM w WHERE wort IN (SELECT wort FROM d))
 SELECT a.wort AS wort1, b.wort AS wort2, count(DISTINCT a.id) AS n, count(DISTINCT a.source_name) AS quellen FROM v a JOIN v b ON a.id = b.id AND a.source_name IS NOT DISTINCT FROM b.source_name AND a.wort < b.wort
@@ -40,7 +69,7 @@ def d3_frequent_pairs(spark, sf):
     w = table(spark, sf, "items").select("id", "source_name", F.explode(T.tokens(F.col("title"), 4)).alias("wort")).distinct()
     kept = w.join(w.groupBy("wort").agg(F.count("*").alias("n")).where("n between 3 and 40").select("wort"), "wort")
     lists = kept.groupBy("id", "source_name").agg(F.array_sort(F.collect_set("wort")).alias("ws"))  # the words of one title
-    pairs = F.flatten(F.transform("ws", lambda x, i: F.transform(F.slice("ws", i + 2, 1000), lambda y: F.struct(x.alias("wort1"), y.alias("wort2")))))
+    pairs = F.flatten(F.transform("ws", lambda x, i: F.transform(F.slice("ws", i + 2, F.size("ws")), lambda y: F.struct(x.alias("wort1"), y.alias("wort2")))))
     p = lists.select("id", "source_name", F.inline(pairs))
     return p.groupBy("wort1", "wort2").agg(F.count_distinct("id").alias("n"), F.count_distinct("source_name").alias("quellen")).where("n >= 4 and quellen >= 3")
 
@@ -218,6 +247,17 @@ def c9_overlap_pairs(spark, sf):
     return M.overlap_pairs(i, "id", T.tokens(F.col("title"), 4), "p", 72, 0.5, 2, 50)
 
 
+@query(
+    f"""WITH i AS (SELECT id, min(title) AS title, min(published) AS p FROM items WHERE title IS NOT NULL GROUP BY id), t AS (SELECT id, p, list_distinct({_TOK}) AS w FROM i), n AS (SELECT * FROM t WHERE len(w) > 0)
+SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)), 4) AS deckung FROM n a JOIN n b ON a.id < b.id AND (a.p IS NULL OR b.p IS NULL OR abs(epoch_us(a.p) - epoch_us(b.p)) <= 72 * 3600000000)
+WHERE len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.5"""
+)
+def c9_all_overlap_pairs(spark, sf):
+    """All pairs near in time that overlap enough, frequent words included."""
+    i = table(spark, sf, "items").where("title is not null").groupBy("id").agg(F.min("title").alias("title"), F.min("published").alias("p"))
+    return M.all_overlap_pairs(i.select("id", "p", T.tokens(F.col("title"), 4).alias("ws")), "id", F.col("ws"), "p", 72, 0.5)
+
+
 @query()
 def c6_star_clusters(spark, sf):
     """Clusters around their freshest member, over all pairs that overlap enough; iterative, so rows only."""

@@ -39,10 +39,10 @@ def a10_json_records(spark, sf):
     return e.select("id", "e.url", "e.titel")
 
 
-@query("SELECT id, url, trim(regexp_replace(title, '[\\s\\x{00A0}]+', ' ', 'g')) AS titel FROM items WHERE url IS NOT NULL AND length(trim(regexp_replace(title, '[\\s\\x{00A0}]+', ' ', 'g'))) BETWEEN 25 AND 300 AND NOT contains(url, '#')")
+@query("SELECT id, split_part(url, '#', 1) AS url, trim(regexp_replace(title, '[\\s\\x{00A0}]+', ' ', 'g')) AS titel FROM items WHERE url IS NOT NULL AND length(trim(regexp_replace(title, '[\\s\\x{00A0}]+', ' ', 'g'))) BETWEEN 25 AND 300")
 def a14_page_links(spark, sf):
     """Links of pages, without menus and footers."""
-    i = table(spark, sf, "items").where("url is not null and not contains(url, '#')")
+    i = table(spark, sf, "items").where("url is not null")
     doc = F.concat(F.lit('<nav><a href="/menu">A menu entry that is long enough to count</a></nav><a href="'), _escaped(F.col("url")), F.lit('">'), _escaped(F.col("title")), F.lit('</a><footer><a href="/imprint">An imprint entry that is long enough</a></footer>'))
     e = i.select("id", F.explode(D.parse_links(doc, F.col("url"))).alias("e"))
     return e.select("id", "e.url", "e.titel")
@@ -68,10 +68,10 @@ def a31_tariff_sheet(spark, sf):
     return out.select("satz_nr", "laufzeit_monate", "grundgebuehr", F.col("beleg_laufzeit").alias("beleg"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '[\\s\\x{00A0}\\x{000B}]+', ' ', 'g')) AS sichtbar FROM documents WHERE text IS NOT NULL AND NOT contains(text, '<') AND NOT contains(text, '&') AND NOT contains(text, '>')")
+@query("SELECT doc_id, trim(regexp_replace(text, '[\\s\\x{00A0}\\x{000B}]+', ' ', 'g')) AS sichtbar FROM documents WHERE text IS NOT NULL")
 def a35_visible_text(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null and not contains(text, '<') and not contains(text, '&') and not contains(text, '>')")
-    page = F.concat(F.lit("<html><nav>Menü</nav><script>var a = 1;</script><p>"), F.col("text"), F.lit("</p><footer>Fuß</footer></html>"))
+    d = table(spark, sf, "documents").where("text is not null")
+    page = F.concat(F.lit("<html><nav>Menü</nav><script>var a = 1;</script><p>"), _escaped(F.col("text")), F.lit("</p><footer>Fuß</footer></html>"))
     return d.select("doc_id", T.visible(page).alias("sichtbar"))
 
 

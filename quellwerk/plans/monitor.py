@@ -48,11 +48,7 @@ def a43_robots(spark, sf):
     """Robots rules of every source, asked for one path each."""
     q = table(spark, sf, "quellen")
     rules = F.when(F.col("kind") == "official", F.lit("User-agent: *\nDisallow: /feed\n")).otherwise(F.lit("User-agent: *\nDisallow: /feed/alt\nAllow: /feed\n"))
-    parsed = q.select("name", D.parse_robots(rules).alias("r"))
-    # longest matching prefix decides, Allow wins ties, no match allows
-    hit = F.filter("r", lambda x: F.lit("/feed").startswith(x["pfad"]))
-    best = F.array_max(F.transform(hit, lambda x: F.struct(F.length(x["pfad"]).alias("n"), x["erlaubt"].alias("e"))))
-    return parsed.select("name", F.coalesce(best["e"], F.lit(True)).alias("erlaubt"))
+    return q.select("name", D.allowed(rules, F.lit("/feed")).alias("erlaubt"))
 
 
 @query("SELECT r.r_name AS region, count(n.n_nationkey) AS n FROM region r LEFT JOIN nation n ON n.n_regionkey = r.r_regionkey AND n.n_nationkey % 2 = 0 GROUP BY r.r_name")
@@ -88,9 +84,13 @@ def e12_event_study(spark, sf):
 
 @query("SELECT id, url, strftime(published, '%Y-%m') AS monat, row_number() OVER (PARTITION BY strftime(published, '%Y-%m') ORDER BY published DESC, id, url, eingang_am) AS platz FROM items WHERE published IS NOT NULL")
 def e15_rank_in_month(spark, sf):
-    w = Window.partitionBy("monat").orderBy(F.col("published").desc(), "id", "url", "eingang_am")
-    i = table(spark, sf, "items").where("published is not null").withColumn("monat", F.date_format("published", "yyyy-MM"))
-    return i.select("id", "url", "monat", F.row_number().over(w).cast("bigint").alias("platz"))
+    """Place in the month, newest first: the place in the day plus the rows of later days, so no task sorts a month."""
+    i = table(spark, sf, "items").where("published is not null").withColumn("monat", F.date_format("published", "yyyy-MM")).withColumn("tag", F.to_date("published"))
+    days = i.groupBy("monat", "tag").agg(F.count("*").alias("n"))
+    later = F.sum("n").over(Window.partitionBy("monat").orderBy(F.col("tag").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    w = Window.partitionBy("monat", "tag").orderBy(F.col("published").desc(), "id", "url", "eingang_am")
+    j = i.withColumn("r", F.row_number().over(w)).join(days.select("monat", "tag", F.coalesce(later, F.lit(0)).alias("davor")), ["monat", "tag"])
+    return j.select("id", "url", "monat", (F.col("r") + F.col("davor")).cast("bigint").alias("platz"))
 
 
 @query(

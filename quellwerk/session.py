@@ -47,9 +47,22 @@ def work_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders this process has written to and not yet removed.
+_written: list[str] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path of its own below the shared folder."""
-    return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _written.append(f"{work_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}")
+    return _written[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove what this process has written below the shared folder; for when no result is read any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

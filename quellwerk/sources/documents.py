@@ -147,14 +147,16 @@ def _record_lists(node, depth: int = 0) -> list[dict]:
 
 
 def json_entries(raw: str | None) -> list[dict]:
-    """Entries of any JSON document, found by shape; the first of each title."""
+    """Entries of any JSON document, found by shape: the newest four hundred, the first of each title."""
     try:
         node = json.loads(raw or "")
     except ValueError:
         return []
     out, seen = [], set()
-    for r in _record_lists(node)[:MOST_RECORDS]:
-        e = {k: _pick(r, names) for k, names in _FIELDS.items()}
+    entries = [{k: _pick(r, names) for k, names in _FIELDS.items()} for r in _record_lists(node)]
+    # newest first, as far as dates sort as text; records without one keep their order behind them
+    entries.sort(key=lambda e: e["datum"] or "", reverse=True)
+    for e in entries[:MOST_RECORDS]:
         if e["titel"] and e["titel"] not in seen:
             seen.add(e["titel"])
             out.append(e)
@@ -287,5 +289,10 @@ def parse_robots(raw):
     return _column(robots_rules, RULE, raw)
 
 
+def allowed(raw, path):
+    """Whether robots rules allow a path to everyone."""
+    return F.pandas_udf(lambda r, p: pd.Series([robots_allows(robots_rules(x), y) for x, y in zip(r, p)], dtype=bool), "boolean", F.PandasUDFType.SCALAR)(raw, path)
+
+
 def parse_links(raw, base):
     return _column(page_links, LINK, raw, base)

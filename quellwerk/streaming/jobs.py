@@ -54,6 +54,7 @@ def run_to_end(result: DataFrame, label: str, mode: str = "append") -> DataFrame
     if mode == "append":
         result.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(path).awaitTermination()
     else:
-        write = lambda df, i: df.write.mode("append").parquet(path)
+        # a batch has a folder of its own, so a repeated one replaces itself
+        write = lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch-{i}")
         result.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(result.schema).parquet(path)
+    return spark.read.schema(result.schema).parquet(path if mode == "append" else f"{path}/batch-*")

@@ -13,4 +13,5 @@ def spark():
     s = session.build("tests", "local[8]", 8)
     s.sparkContext.setLogLevel("ERROR")
     s.sparkContext.setCheckpointDir(session.work_folder(s))
-    return s
+    yield s
+    session.clean(s)
