@@ -13,6 +13,7 @@ from quellwerk.functions import rules as Q
 from quellwerk.functions.text import first_object
 from quellwerk.sources import crawl as C
 from quellwerk.sources import documents as D
+from quellwerk.sources import fetch as W
 
 
 def _all(spark, column, values, kind="string"):
@@ -83,3 +84,38 @@ def test_staircase_and_names(spark):
     assert [[(x.kategorie, x.preis) for x in r] for r in _all(spark, C.staircase, [sheet])] == [[("Monat 1-6", 1019.95), ("ab Monat 7", 29.95)]]
     assert _all(spark, C.certificate_name, ["*.A.Example.", "a", None, "a b.c"]) == ["a.example", None, None, None]
     assert _all(spark, C.parent_site, ["m.x.example", "x.co.uk", "example"]) == ["x.example", "x.co.uk", "example"]
+
+
+def test_fetch_policy():
+    now = [0.0]
+
+    def sleep(s):
+        now[0] += s
+
+    def run(answers, deadline=75.0, quick=False):
+        now[0], left, names = 0.0, list(answers), []
+
+        def get(url, headers, timeout):
+            names.append(headers["User-Agent"])
+            a = left.pop(0)
+            if a is OSError:
+                raise OSError
+            return a, "x"
+
+        return W.attempt("u", get, deadline, 20, quick, sleep, lambda: now[0])[0::1], names
+
+    assert run([200])[0] == (200, "x", 1, None)
+    (status, body, tries, why), names = run([403, 200])
+    assert (status, tries, why) == (200, 2, None) and names == list(W.AGENTS)
+    assert run([503, OSError, 200])[0] == (200, "x", 3, None) and now[0] == 13.0
+    assert run([503, 503, 503])[0][2:] == (3, "fehler")
+    assert run([503, 200], deadline=3.0)[0][2:] == (1, "frist")
+    assert run([503], quick=True)[0][2:] == (1, "fehler")
+    assert W.attempt(None, None, 1, 1, False, sleep, lambda: 0)[3] == "keine Adresse"
+
+
+def test_safe_html_and_json(spark):
+    assert W.safe_html("## A <b>\n\n*x* **y** [z](http://a.b/?q=1&r=2) [bad](javascript:1)") == '<h2>A &lt;b&gt;</h2><p><em>x</em> <strong>y</strong> <a href="http://a.b/?q=1&amp;r=2">z</a> [bad](javascript:1)</p>'
+    assert W.safe_html(None) == ""
+    assert _all(spark, W.script_safe, ['{"a": "</script>&\u2028"}']) == ['{"a": "\\u003c/script\\u003e\\u0026\\u2028"}']
+    assert _all(spark, lambda c: W.document(F.encode(c, "UTF-8"), F.lit(None).cast("string")), [None]) == [None]
