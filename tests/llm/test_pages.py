@@ -46,3 +46,20 @@ def test_furniture_rows(spark):
     df = _pages(spark, [["Startseite", PROSE, "null null null"], None, [], ["Startseite", PROSE, "null null null"]])
     assert sorted((r.zeilen_nr, r.absatz_nr) for r in furniture(df).collect()) == [(0, 0), (3, 0)]
     assert furniture(df.limit(0)).count() == 0 and residue(df.limit(0)).count() == 0
+
+
+def test_whole_page_templates_are_induced_without_wording(spark):
+    rows = [(i, ["Ruhe im Haus bis morgen abend."], f"Ein ganz anderer Titel {i}"[::-1], f"q{i}") for i in range(6)]  # unknown wording under six titles
+    rows += [(10 + i, ["Der Netzbetreiber baut neue Masten im Norden."], "Neue Masten im Norden", f"q{i}") for i in range(6)]  # copies keep their title
+    rows += [(20 + i, ["Zwei Titel sind keine Vorlage im Sinne der Regel."], f"{i} Titel", f"q{i}") for i in range(2)]
+    df = spark.createDataFrame(rows, "zeilen_nr bigint, absaetze array<string>, titel_original string, quelle string")
+    assert {r[0] for r in residue(df).collect()} == set(range(6))
+    assert residue(df.drop("quelle")).count() == 0
+
+
+def test_long_messages_are_judged_by_their_sentences():
+    message = "Access denied. Your request was blocked, reference 08ca35e7. Please turn on scripts in your browser and reload the page. Something went wrong on our end."
+    assert len(message) > 130 and R.paragraph_kind(message) == R.RESIDUE
+    assert R.paragraph_kind(message + " Der Betreiber meldete gestern, dass 4000 Haushalte in drei Orten ohne Netz waren.") == R.NONE
+    assert R.variables("Er schrieb „" + "sehr " * 40 + "{{name}} und mehr“ dazu.") == [("{{name}}", True)]
+    assert R.variables('Er "las" {{name}} und "ging".') == [("{{name}}", False)]
