@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quellwerk.functions import checks as K
 from quellwerk.functions import dates as DT
 from quellwerk.functions import extract as X
+from quellwerk.functions import fields as FD
 from quellwerk.functions import rules as Q
 from quellwerk.functions.text import first_object
 from quellwerk.sources import crawl as C
@@ -119,3 +120,10 @@ def test_safe_html_and_json(spark):
     assert W.safe_html(None) == ""
     assert _all(spark, W.script_safe, ['{"a": "</script>&\u2028"}']) == ['{"a": "\\u003c/script\\u003e\\u0026\\u2028"}']
     assert _all(spark, lambda c: W.document(F.encode(c, "UTF-8"), F.lit(None).cast("string")), [None]) == [None]
+
+
+def test_fields_of_nulls_and_odd_text(spark):
+    assert _all(spark, FD.price, ["1.234,56 €", "1,234.56", "0", "10.000,01", "x", None]) == [1234.56, 1234.56, None, None, None, None]
+    assert _all(spark, FD.availability, ["https://schema.org/PreOrder", "soldout", "", None]) == ["vorbestellbar", "ausverkauft", "unbekannt", None]
+    assert _all(spark, lambda c: FD.longest_word(c, FD.COLOURS), ["in Midnight Black", "Blaubeere", None]) == ["midnight black", None, None]
+    assert _all(spark, lambda c: FD.gaps(a=c, b=F.lit(1.0)), [None, float("nan"), 2.0], "double") == [["a"], ["a"], []]
