@@ -51,7 +51,7 @@ def _has_words(text: str) -> bool:
 
 #: Titles and sources a whole-page template stands under at least, and titles against rows.
 TITLES, SOURCES, APART = 3, 3, 0.9
-_FIGURES = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
+_FIGURES = re.compile(r"\d\S*")
 
 
 def _hash(text: str) -> int:

@@ -91,6 +91,8 @@ def _opens(before: list[str]) -> bool:
     return last not in "\"'" or before.count(last) % 2 == 1
 
 
+#: First characters of the filler words.
+_FILLER_STARTS = frozenset("unt xdlpfb[….")
 _MARK = re.compile("[.!?。！？]")
 _PIECES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 
@@ -108,7 +110,7 @@ def paragraph_kind(text: str | None) -> int:
     if _is_lorem(t) or _message(t):
         return RESIDUE
     end = _MARK.search(t)
-    if end is None or not _message(t[: end.end()]):
+    if end is None or end.end() == len(t) or not _message(t[: end.end()]):
         return NONE
     return RESIDUE if all(_message(x) for x in _PIECES.split(t) if x) else NONE
 
@@ -119,9 +121,18 @@ def _message(t: str) -> bool:
     if words > 20:
         return False
     low = t.lower()
-    if any(low.startswith(x) for x in _FILLER.get(low[:3], ())) or FILLER_WORDS.fullmatch(t) or _CODES.match(t):
+    for x in _FILLER.get(low[:3], ()):
+        if low.startswith(x):
+            return True
+    if low[0] in _FILLER_STARTS and FILLER_WORDS.fullmatch(t) or _CODES.match(t):
         return True
-    return words < 15 and any(x in low for x in _ERRORS) or words < 13 and bool(SCRIPTS.search(low)) and not _DIGIT.search(t)
+    if words < 15:
+        for x in _ERRORS:
+            if x in low:
+                return True
+    # the words the pattern looks for, without their bounds
+    held = "script" in low or "skr" in low or "скрипт" in low or "スクリプト" in low or "komut" in low
+    return held and words < 13 and bool(SCRIPTS.search(low)) and not _DIGIT.search(t)
 
 
 def _is_lorem(text: str) -> bool:
