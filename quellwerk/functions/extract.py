@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,17 +16,20 @@ LEAD_IN = ("in", "binnen", "innerhalb")
 BETWEEN = ("-", "–", "bis")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being computed once a row: a lambda's variable is no copy of the expression, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def delivery_days(text: Column) -> Column:
     """struct<lage, von, bis>: days until delivery named in a text; weeks count seven days; null if it names none.
 
     Each sentence is read as tokens: a number before a unit is a time, with a second number before a separator a span.
     It counts if the sentence is about delivery, or a word like "in" leads to it, and about nothing else that takes time.
     """
-    low = F.lower(text)
     begins = lambda word, stems: F.exists(F.array(*map(F.lit, stems)), lambda s: word.startswith(s))
 
-    def times(sentence: Column) -> Column:
-        tokens = F.regexp_extract_all(sentence, F.lit(r"(\d+|\p{L}+|[-–])"), 1)
+    def times(tokens: Column) -> Column:
         at = lambda i: F.coalesce(F.get(tokens, i), F.lit(""))
         number = lambda i: F.when(at(i).rlike(r"^\d{1,3}$"), at(i).cast("int"))
         days = lambda i: F.coalesce(*[F.when(at(i).startswith(u), F.lit(n)) for u, n in UNIT_DAYS.items()])
@@ -35,14 +40,23 @@ def delivery_days(text: Column) -> Column:
             return F.struct((F.coalesce(first, number(i - 1)) * days(i)).alias("von"), (number(i - 1) * days(i)).alias("bis"), led.alias("led"))
 
         about, other = F.exists(tokens, lambda w: begins(w, ABOUT_DELIVERY)), F.exists(tokens, lambda w: begins(w, ABOUT_OTHER))
-        found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), read)
-        return F.filter(found, lambda x: x["bis"].isNotNull() & ~other & (about | x["led"]))
-
-    hit = F.try_element_at(F.flatten(F.transform(F.split(low, r"[.!?;\n]+"), times)), F.lit(1))
-    gone = F.exists(F.array(*map(F.lit, ("verfügbar", "lieferbar"))), lambda w: F.contains(low, F.concat(F.lit("nicht "), w))) | F.contains(low, F.lit("ausverkauft"))
-    now = F.exists(F.array(*map(F.lit, ("verfügbar", "lieferbar"))), lambda w: F.contains(low, F.concat(F.lit("sofort "), w))) | (hit["bis"] <= 3)
-    state = F.when(gone, "nicht").when(now, "sofort").when(hit.isNotNull(), "wartezeit")
-    return F.when(state.isNotNull(), F.struct(state.alias("lage"), hit["von"].alias("von"), hit["bis"].alias("bis")))
+        # only a unit after a number is read
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: days(i).isNotNull() & number(i - 1).isNotNull())
+        led = F.filter(F.transform(places, read), lambda x: x["bis"].isNotNull())
+        return bound(F.struct(about.alias("about"), other.alias("other")), lambda s: F.filter(led, lambda x: ~s["other"] & (s["about"] | x["led"])))
+
+    def state(low: Column, hit: Column) -> Column:
+        stands = lambda lead: F.exists(F.array(*map(F.lit, ("verfügbar", "lieferbar"))), lambda w: F.contains(low, F.concat(F.lit(lead), w)))
+        gone, now = stands("nicht ") | F.contains(low, F.lit("ausverkauft")), stands("sofort ") | (hit["bis"] <= 3)
+        return F.when(gone, "nicht").when(now, "sofort").when(hit.isNotNull(), "wartezeit")
+
+    def read_all(low: Column) -> Column:
+        # sentences without a number before a unit, whatever stands between, name no time
+        sentences = F.filter(F.split(low, r"[.!?;\n]+"), lambda s: s.rlike(rf"\d[^\d\p{{L}}–-]*(?:{'|'.join(UNIT_DAYS)})"))
+        found = F.flatten(F.transform(sentences, lambda s: bound(F.regexp_extract_all(s, F.lit(r"(\d+|\p{L}+|[-–])"), 1), times)))
+        return bound(F.try_element_at(found, F.lit(1)), lambda hit: F.struct(state(low, hit).alias("lage"), hit["von"].alias("von"), hit["bis"].alias("bis")))
+
+    return bound(bound(F.lower(text), read_all), lambda x: F.when(x["lage"].isNotNull(), x))
 
 
 def first_day(text: Column) -> Column:

@@ -127,14 +127,18 @@ def schema_delivery(raw: str | None) -> list[dict]:
 
 def observed_delivery(schema: Column, selector: Column, text: Column) -> Column:
     """struct<von, bis, methode, belastbarkeit, quarantaene>: structured data before a selected field before free text; more than 90 days, template braces or no hit are quarantined."""
-    from quellwerk.functions.extract import delivery_days
-
-    a, b, c = F.try_element_at(schema, F.lit(1)), delivery_days(selector), delivery_days(text)
-    low, high = F.coalesce(a["von"], b["von"], c["von"]), F.coalesce(a["bis"], b["bis"], c["bis"])
-    how = F.when(a.isNotNull(), "schema").when(b["bis"].isNotNull(), "feld").when(c["bis"].isNotNull(), "text")
-    sure = F.when(how == "schema", "hoch").when(how == "feld", "mittel").when(how == "text", "niedrig")
-    why = F.when(F.contains(F.coalesce(text, F.lit("")), F.lit("{{")), "platzhalter").when(how.isNull(), "kein treffer").when(high > 90, "zu lang")
-    return F.struct(low.alias("von"), high.alias("bis"), how.alias("methode"), sure.alias("belastbarkeit"), why.alias("quarantaene"))
+    from quellwerk.functions.extract import bound, delivery_days
+
+    def judged(x: Column) -> Column:
+        a, b, c = x["a"], x["b"], x["c"]
+        low, high = F.coalesce(a["von"], b["von"], c["von"]), F.coalesce(a["bis"], b["bis"], c["bis"])
+        how = F.when(a.isNotNull(), "schema").when(b["bis"].isNotNull(), "feld").when(c["bis"].isNotNull(), "text")
+        sure = F.when(how == "schema", "hoch").when(how == "feld", "mittel").when(how == "text", "niedrig")
+        why = F.when(F.contains(F.coalesce(x["t"], F.lit("")), F.lit("{{")), "platzhalter").when(how.isNull(), "kein treffer").when(high > 90, "zu lang")
+        return F.struct(low.alias("von"), high.alias("bis"), how.alias("methode"), sure.alias("belastbarkeit"), why.alias("quarantaene"))
+
+    found = F.struct(F.try_element_at(schema, F.lit(1)).alias("a"), delivery_days(selector).alias("b"), delivery_days(text).alias("c"), text.alias("t"))
+    return bound(found, judged)
 
 
 class _Anchors(HTMLParser):

@@ -30,3 +30,11 @@ def test_model_failures_stay_with_their_row(spark):
 
     got = {r.i: (r.a, r.s) for r in models.apply(rows.coalesce(1), "t", model, "a", "s").collect()}
     assert got[7] == (None, "fehler") and all(got[i] == ("GUT", "ok") for i in range(20) if i != 7)
+
+
+def test_delivery_days_reads_a_text_once(spark):
+    df = spark.createDataFrame([("Versand 4 bis 6 Wochen, in Tagen",), ("Lieferung in 1234 Tagen; Tag 3. Binnen 2–3 Werktagen",), ("Laufzeit 5 Tage, Lieferung in 2 Tagen",)], "t string").repartition(1)
+    x = df.select(X.delivery_days(F.col("t")).alias("x")).select("x.lage", "x.von", "x.bis")
+    # the text is cut into tokens in one place of the plan, not once for every use of a token
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert {tuple(r) for r in x.collect()} == {("wartezeit", 28, 42), ("sofort", 2, 3), (None, None, None)}
