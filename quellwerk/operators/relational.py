@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from heapq import heapify, heappop
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -127,3 +129,69 @@ def greedy_match(pairs: DataFrame, key: str, score: str) -> DataFrame:
 
     ordered = pairs.repartition(key).sortWithinPartitions(key, F.col(score).desc(), "angebot", "bild")
     return ordered.mapInPandas(run, pairs.schema)
+
+
+def match_by_words(offers: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """key, angebot, bild, n: the greedy choice of ``greedy_match`` for offers (key, angebot, w) and candidates (key, bild, v)
+    whose score is the number of words in common, without forming their pairs.
+
+    Levels are passed from the most words in common down.  At level n no free pair shares more, so the pairs with n words
+    in common are those that share some n of them, and the smallest free candidate of such a set is looked up.  A row of
+    w words that both sides have is in 2^w sets, so rows are meant to be names of a few words; a key's rows are held in one task.
+    Rows without number or key meet nobody, rows without words (null) are left to the last.
+    """
+    side = lambda df, ident, words, s: df.where(F.col(key).isNotNull() & F.col(ident).isNotNull()).select(key, F.lit(s).alias("s"), F.col(ident).alias("i"), F.col(words).alias("w"))
+    rows = side(offers, "angebot", "w", 0).unionByName(side(candidates, "bild", "v", 1))
+    ident = dict(rows.dtypes)["i"]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        both = ({}, {})  # identity: the sets of words it stands with, None for no words
+        for s, i, w in zip(group["s"].tolist(), group["i"].tolist(), group["w"].tolist()):
+            both[s].setdefault(i, set()).add(None if w is None else frozenset(w))
+        pairs = _match_levels(*both)
+        at = group[key].iloc[0]
+        return pd.DataFrame([(at, a, b, n) for a, b, n in pairs], columns=[key, "angebot", "bild", "n"]).astype({"n": "Int32"})
+
+    return rows.groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, angebot {ident}, bild {ident}, n int")
+
+
+def _match_levels(offers: dict, images: dict) -> list[tuple]:
+    """(offer, image, words in common or None) of the greedy one-to-one choice among identities with their sets of words."""
+    words = lambda side: {w for sets in side.values() for x in sets if x for w in x}
+    # words of one side only are in no pair
+    met = {w: i for i, w in enumerate(words(offers) & words(images))}
+    cut = lambda side: {i: [None if x is None else tuple(sorted(met[w] for w in x if w in met)) for x in sets] for i, sets in side.items()}
+    o, m = cut(offers), cut(images)
+    free_o, free_i, out = sorted(o), set(m), []
+
+    def take(candidates: dict, sets_of: Callable, n: int | None) -> None:
+        nonlocal free_o
+        for heap in candidates.values():
+            heapify(heap)
+        left = []
+        for a in free_o:
+            best = None
+            for c in sets_of(a):
+                heap = candidates.get(c)
+                while heap and heap[0] not in free_i:
+                    heappop(heap)
+                if heap and (best is None or heap[0] < best):
+                    best = heap[0]
+            if best is None:
+                left.append(a)
+            else:
+                free_i.discard(best)
+                out.append((a, best, n))
+        free_o = left
+
+    most = max((len(x) for side in (o, m) for sets in side.values() for x in sets if x is not None), default=0)
+    for n in range(most, -1, -1):
+        candidates: dict = {}
+        for b in free_i:
+            for c in {c for x in m[b] if x is not None for c in combinations(x, n)}:
+                candidates.setdefault(c, []).append(b)
+        take(candidates, lambda a, n=n: {c for x in o[a] if x is not None for c in combinations(x, n)}, n)
+    # what has no words on one side comes last, whatever the other has
+    unknown, every = [b for b in free_i if None in m[b]], list(free_i)
+    take({"unknown": unknown, "every": every}, lambda a: ("every",) if None in o[a] else ("unknown",), None)
+    return out

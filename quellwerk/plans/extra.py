@@ -49,8 +49,7 @@ def c19_greedy_matching(spark, sf):
     p = table(spark, sf, "part").withColumn("w", F.array_distinct(F.split("p_name", " ")))
     offers = p.where("p_size <= 25").select(F.concat_ws("|", "p_brand", "p_size").alias("k"), F.col("p_partkey").alias("angebot"), "w")
     images = p.where("p_size > 25").select(F.concat_ws("|", "p_brand", (F.col("p_size") - 25).cast("string")).alias("k"), F.col("p_partkey").alias("bild"), F.col("w").alias("v"))
-    scored = offers.join(images, "k").withColumn("punkte", F.size(F.array_intersect("w", "v")) + F.lit(0.5)).select("k", "angebot", "bild", "punkte")
-    return R.greedy_match(scored, "k", "punkte")
+    return R.match_by_words(offers, images, "k").select("k", "angebot", "bild", (F.col("n") + F.lit(0.5)).alias("punkte"))
 
 
 @query(

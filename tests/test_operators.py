@@ -51,6 +51,22 @@ def test_greedy_match_leaves_no_pair(spark):
     assert same.count() == 70
 
 
+def test_match_by_words_is_the_greedy_choice_of_all_pairs(spark, tmp_path):
+    """Keys of unequal sides, repeated identities, empty and missing words; no pair is formed by the operator or the query."""
+    rng = random.Random(6)
+    words = lambda: rng.choice([None, [], *[rng.sample("abcdef", rng.randrange(1, 5)) for _ in range(20)]])
+    offers = spark.createDataFrame([(rng.choice("xyz"), rng.randrange(60), words()) for _ in range(120)] + [(None, 1, ["a"])], "k string, angebot bigint, w array<string>")
+    images = spark.createDataFrame([(rng.choice("xxy"), rng.randrange(50), words()) for _ in range(90)] + [(None, 1, ["a"])], "k string, bild bigint, v array<string>")
+    pairs = offers.join(images, "k").withColumn("n", F.size(F.array_intersect("w", "v")))
+    got, want = R.match_by_words(offers, images, "k"), R.greedy_match(pairs, "k", "n")
+    assert sorted(got.collect(), key=str) == sorted(want.select(*got.columns).collect(), key=str) and got.count() > 40
+    from quellwerk.plans import registry
+
+    spark.createDataFrame([(i, "rot bolt", "B", 1 + i % 50) for i in range(200)], "p_partkey bigint, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    df = registry()[0]["c19_greedy_matching"](spark, str(tmp_path))
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString() and df.count() == 100
+
+
 def test_all_overlap_pairs_keep_frequent_words(spark):
     """Every title holds a frequent word and some have no time; the pairs are those of the plain double loop."""
     rng = random.Random(5)
