@@ -8,7 +8,7 @@ from quellwerk.functions import text as T
 from quellwerk.operators import events as V
 from quellwerk.operators import relational as R
 from quellwerk.plans.catalog import query
-from quellwerk.session import table
+from quellwerk.session import materialise, table
 
 _LOW = lambda c: f"lower(replace({c}, 'İ', 'i'))"
 _STOP = ", ".join(f"'{x}'" for x in V.NO_ACTOR)
@@ -65,10 +65,10 @@ SELECT CAST(zeit AS DATE) AS tag, count(*) AS meldungen, count(f.a) AS folgen FR
 )
 def i4_follow_ups(spark, sf):
     """Per day: records, and those that attach to an event of the last 72 hours and are not reported again."""
-    t = _told(spark, sf)
-    hit = V.remembered(t, t)
+    t = materialise(_told(spark, sf), "told")
+    hit = V.attached(t).withColumn("folgt", F.lit(True))
     g = t.select("k", F.to_date("zeit").alias("tag")).join(hit, "k", "left").groupBy("tag")
-    return g.agg(F.count("*").alias("meldungen"), F.count("ereignis").alias("folgen"))
+    return g.agg(F.count("*").alias("meldungen"), F.count("folgt").alias("folgen"))
 
 
 @query(

@@ -86,3 +86,24 @@ def test_all_overlap_pairs_against_all_pairs(spark):
     want = {(x[0], y[0]) for x, y in itertools.combinations(rows, 2) if near(x[1], y[1]) and len(set(x[2]) & set(y[2])) / min(len(x[2]), len(y[2])) >= 0.5}
     df = spark.createDataFrame(rows, "id int, p timestamp, ws array<string>")
     assert {(r.a, r.b) for r in M.all_overlap_pairs(df, "id", F.col("ws"), "p", 72, 0.5).collect()} == want
+
+
+def test_attached_is_what_is_remembered_without_all_pairs(spark, tmp_path, monkeypatch):
+    """Random records with few words, numbers, ties of time and missing values, against the pairs; the query forms none."""
+    rng = random.Random(7)
+    pick = lambda pool, most: sorted(rng.sample(pool, rng.randrange(0, most)))
+    rows = [(f"k{i}", rng.choice([None, "x", "y"]), T(2026, 1, 1) + dt.timedelta(hours=rng.randrange(900)), pick([f"w{j}" for j in range(14)], 7), pick(["p", "q", "r", "s"], 3), pick(["1", "2.5", "7", "8"], 2)) for i in range(260)]
+    d = spark.createDataFrame(rows, "k string, betreiber string, zeit timestamp_ntz, woerter array<string>, akteure array<string>, zahlen array<string>")
+    want = {r.k for r in V.remembered(d, d).collect()}
+    for last in (1, 6):
+        assert {r.k for r in V.attached(d, last=last).collect()} == want and 20 < len(want) < 240
+    from quellwerk.plans import registry
+
+    def pairs(*_):
+        raise AssertionError("all pairs are formed")
+
+    monkeypatch.setattr(V, "near_pairs", pairs)
+    items = [(f"i{j}", f"u{j}", f"Vosuru Net raises prices by {j % 3} percent", "Vosuru Net", T(2026, 1, 1 + 9 * (j % 2)), T(2026, 1, 20)) for j in range(4)]
+    spark.createDataFrame(items, "id string, url string, title string, operator string, published timestamp_ntz, eingang_am timestamp_ntz").write.parquet(f"{tmp_path}/items.parquet")
+    got = registry()[0]["i4_follow_ups"](spark, str(tmp_path))
+    assert sorted((str(r.tag), r.meldungen, r.folgen) for r in got.collect()) == [("2026-01-01", 2, 2), ("2026-01-10", 2, 2)]
