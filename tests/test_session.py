@@ -1,3 +1,6 @@
+import os
+import time
+
 import pytest
 
 from quellwerk import session
@@ -25,3 +28,19 @@ def test_materialise_reads_what_it_wrote(spark):
     df = spark.range(5).selectExpr("id", "array(id) as a")
     assert session.materialise(df, "t").orderBy("id").collect() == df.collect()
     assert session.materialise(df.limit(0), "t").count() == 0
+
+
+def test_materialised_results_leave_no_shuffle_files(spark, tmp_path):
+    """The shuffle of a written result is removed with the write, the setting is put back, and a spent result can be dropped."""
+    before = spark.conf.get(session.FILE_CLEANUP, "false")
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    count = tracker.size()
+    df = session.materialise(spark.range(1000).selectExpr("id % 7 as k").repartition(3, "k").groupBy("k").count(), "spent")
+    wait = time.time() + 10
+    while tracker.size() > count and time.time() < wait:
+        time.sleep(0.1)
+    assert tracker.size() <= count and spark.conf.get(session.FILE_CLEANUP) == before
+    folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
+    assert df.count() == 7 and os.path.isdir(folder)
+    session.drop(df)
+    assert not os.path.exists(folder)
