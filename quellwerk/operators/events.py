@@ -156,6 +156,11 @@ def _same(hours: int) -> Column:
     return told & F.arrays_overlap("akteure_a", "akteure_b") & (F.size(F.array_intersect("woerter_a", "woerter_b")) / smaller >= least)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """Rows that a join must not send to the driver: written keys are many times larger in memory than their files, by which Spark decides."""
+    return df.hint("merge")
+
+
 def attached(rows: DataFrame, hours: int = HOURS, last: int = 6) -> DataFrame:
     """k: the described records (read several times) that ``remembered`` would find among themselves, without forming all their pairs.
 
@@ -173,24 +178,25 @@ def attached(rows: DataFrame, hours: int = HOURS, last: int = 6) -> DataFrame:
     each = held.select("a", F.explode(F.array(*[f"b{i}" for i in range(1, last + 1)])).alias("b")).where("b is not null")
     flat = each.select(*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in rows.columns])
     near = materialise(flat.where(_same(hours)).select(F.col("k_a").alias("k")).distinct(), "near")
-    rest = rows.join(near, "k", "left_anti")
+    rest = rows.join(apart(near), "k", "left_anti")
 
     both = lambda df: side(df.withColumn("eimer", F.explode(F.array(day, day - 1))), "a")
     number = lambda df: df.withColumn("zahl", F.explode("zahlen"))
-    met = both(number(rest)).join(side(number(rows).withColumn("eimer", day), "b"), ["zahl", "eimer"]).where(_same(hours))
+    met = both(number(rest)).join(apart(side(number(rows).withColumn("eimer", day), "b")), ["zahl", "eimer"]).where(_same(hours))
     met = materialise(met.select(F.col("k_a").alias("k")).distinct(), "met")
 
     often = words.groupBy("w").agg(F.count("*").alias("n"))
-    order = words.select("k", "w").join(often, "w").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("ordered"))
-    ordered = materialise(rows.join(order, "k"), "ordered")
+    order = words.select("k", "w").join(apart(often), "w").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("ordered"))
+    ordered = materialise(rows.join(apart(order), "k"), "ordered")
     rarest = F.slice("ordered", 1, F.floor(F.size("ordered") / 2).cast("int") + 1)
     post = lambda df, which: df.withColumn("w", F.explode(which)).drop("ordered")
-    left = materialise(ordered.join(near.union(met), "k", "left_anti"), "left")
+    left = materialise(ordered.join(apart(near.union(met)), "k", "left_anti"), "left")
     smaller = F.size("woerter_a") <= F.size("woerter_b")
-    one = both(post(left, rarest)).join(side(post(ordered, "ordered").withColumn("eimer", day), "b"), ["w", "eimer"]).where(smaller & _same(hours))
-    other = both(post(left, "ordered")).join(side(post(ordered, rarest).withColumn("eimer", day), "b"), ["w", "eimer"]).where(~smaller & _same(hours))
-    parts = [near, met, *[x.select(F.col("k_a").alias("k")) for x in (one, other)]]
-    return reduce(DataFrame.union, parts).distinct()
+    one = both(post(left, rarest)).join(apart(side(post(ordered, "ordered").withColumn("eimer", day), "b")), ["w", "eimer"]).where(smaller & _same(hours))
+    # written, so that its shuffle is gone before the next one begins
+    one = materialise(one.select(F.col("k_a").alias("k")).distinct(), "one")
+    other = both(post(left.join(apart(one), "k", "left_anti"), "ordered")).join(apart(side(post(ordered, rarest).withColumn("eimer", day), "b")), ["w", "eimer"]).where(~smaller & _same(hours))
+    return reduce(DataFrame.union, [near, met, one, other.select(F.col("k_a").alias("k"))]).distinct()
 
 
 def evidence(sentences: DataFrame, records: DataFrame, most: int = 4) -> DataFrame:

@@ -66,7 +66,7 @@ def i4_follow_ups(spark, sf):
     """Per day: records, and those that attach to an event of the last 72 hours and are not reported again."""
     t = materialise(_told(spark, sf), "told")
     hit = V.attached(t).withColumn("folgt", F.lit(True))
-    g = t.select("k", F.to_date("zeit").alias("tag")).join(hit, "k", "left").groupBy("tag")
+    g = t.select("k", F.to_date("zeit").alias("tag")).join(V.apart(hit), "k", "left").groupBy("tag")
     return g.agg(F.count("*").alias("meldungen"), F.count("folgt").alias("folgen"))
 
 

@@ -109,6 +109,27 @@ def test_attached_is_what_is_remembered_without_all_pairs(spark, tmp_path, monke
     assert sorted((str(r.tag), r.meldungen, r.folgen) for r in got.collect()) == [("2026-01-01", 2, 2), ("2026-01-10", 2, 2)]
 
 
+def test_follow_ups_send_no_keys_to_the_driver(spark, tmp_path, monkeypatch):
+    """Whatever the files of the keys weigh, no join of the query broadcasts them."""
+    from quellwerk.plans import events, registry
+
+    items = [(f"i{j}", f"u{j}", f"Vosuru Net raises prices by {j} percent", "Vosuru Net", T(2026, 1, 1 + 9 * (j % 2)), T(2026, 1, 20)) for j in range(4)]
+    spark.createDataFrame(items, "id string, url string, title string, operator string, published timestamp_ntz, eingang_am timestamp_ntz").write.parquet(f"{tmp_path}/items.parquet")
+    plans, write = [], V.materialise
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(df, label):
+        plans.append(plan(df))
+        return write(df, label)
+
+    for module in (V, events):
+        monkeypatch.setattr(module, "materialise", seen)
+    plans.append(plan(registry()[0]["i4_follow_ups"](spark, str(tmp_path))))
+    joins = [line for p in plans for line in p.splitlines() if "Join" in line]
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20
+    assert len(joins) >= 8 and not [j for j in joins if "Broadcast" in j]
+
+
 def test_judged_is_the_verdict_of_all_near_pairs_by_bits(spark, tmp_path, monkeypatch):
     """Random records with more words and actors than bits, sets above the table of quotients, ties of time and missing values, against the pairs; the query compares bits."""
     rng = random.Random(8)
