@@ -92,6 +92,20 @@ def test_short_text_meets_a_longer_one_once(spark):
     assert {(r.a, r.b) for r in N.similar_classes(classes, texts, lambda a, b: True).collect()} == {(1, 2)}
 
 
+def test_texts_with_phrases_in_common_hardly_meet(spark):
+    """Sketches with a value or two in common, as texts with the same phrases have, meet in few lists; a family of edited copies in it meets whole."""
+    rng = random.Random(12)
+    pool = [rng.getrandbits(63) for _ in range(4000)]
+    sketches = [sorted(rng.sample(pool, N.SKETCH)) for _ in range(300)]
+    base = [rng.getrandbits(63) for _ in range(N.SKETCH)]
+    family = [sorted(rng.sample(base, 42) + rng.sample(pool, N.SKETCH - 42)) for _ in range(12)]
+    classes = spark.createDataFrame(list(enumerate(sketches + family)), "k bigint, sketch array<bigint>")
+    met = [(r.a, r.b) for r in N._lists(classes).collect()]
+    values = sum(len(set(a) & set(b)) for a, b in itertools.combinations(sketches, 2))
+    assert values > 40_000 and sum(b < 300 for _, b in met) < 0.1 * values
+    assert all(met.count(p) >= N.LISTS for p in itertools.combinations(range(300, 312), 2))
+
+
 def test_sketch_estimates_jaccard():
     rng = random.Random(7)
     a = [_sentence(rng) for _ in range(60)]
